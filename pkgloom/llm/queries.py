@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgloom.engine import small, table
-from pkgloom.llm import canonical, fingerprints, survivor
+from pkgloom.engine import key_spelling, small, table
+from pkgloom.llm import canonical, fingerprints, names, survivor
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
 FP = ["fp_software", "fp_publisher", "fp_version"]
@@ -59,7 +59,28 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.best_values(packages, "projectname_seed", ["homepage", "description"], ["licenses"], "observed_at")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found)}
+def publisher_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct key spellings of the publisher fields, with occurrences."""
+    info = table(spark, folder, "software_info")
+    fields = F.concat(F.array("fp_publisher", "publisher"), F.coalesce("publisher_alternative", F.array().cast("array<string>")))
+    spelled = info.select(F.explode(fields).alias("v")).select(key_spelling(F.col("v")).alias("name"))
+    return spelled.where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def publishers_together(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, other, n): spellings that one record gives for its publisher."""
+    info = table(spark, folder, "software_info")
+    fields = F.concat(F.array("publisher"), F.coalesce("publisher_alternative", F.array().cast("array<string>")))
+    one = info.select(F.array_distinct(F.transform(fields, key_spelling)).alias("v"))
+    pairs = one.select("v", F.explode("v").alias("name")).select("name", F.explode("v").alias("other"))
+    return pairs.where("name <> other and name <> '' and other <> ''").groupBy("name", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link_pairs(names.entities(publisher_names(spark, folder), publishers_together(spark, folder)))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found)}
 
 #: DuckDB counterparts of the queries that plain SQL can express.
 SQL: dict[str, str] = {}
