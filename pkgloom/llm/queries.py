@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgloom.engine import key_spelling, small, table
-from pkgloom.llm import canonical, fingerprints, names, survivor
+from pkgloom.engine import cut, join_skewed, key_spelling, small, table
+from pkgloom.llm import canonical, fingerprints, linkage, names, survivor
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
 FP = ["fp_software", "fp_publisher", "fp_version"]
@@ -80,7 +83,129 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.link_pairs(names.entities(publisher_names(spark, folder), publishers_together(spark, folder)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found)}
+def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the canonical product words of (text, entity) to each row."""
+    memo: dict[tuple, str] = {}
+    for batch in batches:
+        if len(memo) > canonical.MEMO:
+            memo.clear()
+        keys = list(zip(batch["text"], batch["entity"], strict=True))
+        for k in keys:
+            if k not in memo:
+                memo[k] = linkage.product_words(*k)
+        yield batch.assign(product=[memo[k] for k in keys])
+
+
+def product_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """(cpe_id, software_id, confidence): see TESTDATA problem 2."""
+    info, cpe = table(spark, folder, "software_info"), table(spark, folder, "cpe_entities")
+    none = F.array().cast("array<string>")
+    hint = F.split(F.lower(F.regexp_replace("cpe_string", r"^(?i)cpe:(?:2\.3:|/)a:", "")), ":")
+    cpe_forms = cpe.where("product is not null and product <> ''").groupBy("publisher", "product").agg(F.count(F.lit(1)).alias("n"))
+    cpe_forms = cut(cpe_forms.withColumn("name", key_spelling(F.col("publisher"))))
+    records = info.select(
+        F.col("id").alias("software_id"),
+        F.filter(
+            F.array_distinct(F.transform(F.concat(F.array("publisher"), F.coalesce("publisher_alternative", none)), key_spelling)),
+            lambda x: x != "",
+        ).alias("said"),
+        F.filter(F.concat(F.array("software"), F.coalesce("software_alternative", none)), lambda x: F.coalesce(x, F.lit("")) != "").alias("texts"),
+        key_spelling(hint[0]).alias("hint_publisher"),
+        key_spelling(F.col("fp_publisher")).alias("fp"),
+    )
+    spelled = (
+        publisher_names(spark, folder)
+        .unionByName(cpe_forms.where("name <> ''").groupBy("name").agg(F.sum("n").alias("n")))
+        .unionByName(records.where("hint_publisher <> ''").groupBy(F.col("hint_publisher").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+        .groupBy("name")
+        .agg(F.sum("n").alias("n"))
+    )
+    entity = cut(
+        names.entities(spelled, publishers_together(spark, folder)).join(spelled, "name").select("name", "entity", "n")
+    )
+    named = (
+        join_skewed(records.select("software_id", F.posexplode("said").alias("at", "name")), entity, ["name"], "n")
+        .groupBy("software_id")
+        .agg(F.min(F.struct("at", "entity")).alias("e"))
+        .select("software_id", F.col("e.entity").alias("entity"))
+    )
+    asides = join_skewed(
+        records.select("software_id", F.explode(F.array("hint_publisher", "fp")).alias("name")).where("name <> ''"), entity, ["name"], "n"
+    ).select("software_id", F.col("entity").alias("aside"))
+    known = records.join(named, "software_id", "left").withColumn("entity", F.coalesce("entity", F.lit("")))
+    # without a publisher, the first word may be the publisher's; the rest then counts only if it is
+    _tail = F.regexp_replace(F.trim("said"), r"^\S+\s+(?=\S)", "")
+    s_rows = cut(
+        known.select("software_id", "entity", F.explode("texts").alias("said"))
+        .select("software_id", "entity", "said", F.explode(F.array_distinct(F.array("said", _tail))).alias("text"))
+        .where("text = said or entity = ''")
+        .mapInPandas(_words_of, "software_id bigint, entity string, said string, text string, product string")
+    )
+    c_rows = cut(
+        cpe_forms.join(entity.drop("n"), "name", "left")
+        .select("publisher", F.col("product").alias("text"), "n", F.coalesce("entity", F.concat(F.lit("? "), "name")).alias("entity"))
+        .mapInPandas(_words_of, "publisher string, text string, n bigint, entity string, product string")
+    )
+    form = F.concat_ws("\u0001", F.col("entity"), F.col("product"))
+    s_rows = s_rows.withColumn("form", F.concat(F.lit("s"), form))
+    c_rows = c_rows.withColumn("form", F.concat(F.lit("c"), form))
+    s_forms = s_rows.groupBy("form", "entity", "product").agg(F.count(F.lit(1)).alias("n"))
+    c_forms = c_rows.groupBy("form", "entity", "product").agg(F.sum("n").alias("n"))
+    forms = cut(s_forms.unionByName(c_forms).where("product <> ''"))
+    products, loose = linkage.match_products(forms)
+    cpe_of = c_rows.select("publisher", F.col("text").alias("product"), "form").join(products, "form").drop("form", "weight")
+    # records with a publisher: the product of the spelling they use first that is matched
+    sized = products.join(s_forms.select("form", "n"), "form")
+    direct = (
+        join_skewed(s_rows.select("software_id", "form"), sized, ["form"], "n")
+        .where("weight > 0")
+        .groupBy("software_id", "product_id")
+        .agg(F.max("weight").alias("weight"))
+        .withColumn("confidence", F.lit(linkage.PUBLISHER_WEIGHT) + linkage.PRODUCT_WEIGHT * F.col("weight"))
+    )
+    # records without one: every product with their name, kept where one publisher stands out
+    sided = loose.select(
+        F.when(F.col("form_a").startswith("s\u0001"), F.col("form_a")).otherwise(F.col("form_b")).alias("form"),
+        F.when(F.col("form_a").startswith("s\u0001"), F.col("form_b")).otherwise(F.col("form_a")).alias("other"),
+        "similarity",
+    ).where("startswith(form, 's\u0001')")
+    offers = (
+        sided.join(products.select(F.col("form").alias("other"), "product_id"), "other")
+        .join(forms.select(F.col("form").alias("other"), F.col("entity").alias("aside")), "other")
+        .groupBy("form", "aside", "product_id")
+        .agg(F.max("similarity").alias("weight"))
+    )
+    offers = cut(offers.join(offers.groupBy("form").agg(F.countDistinct("aside").alias("choices")), "form"))
+    backed = asides.distinct().withColumn("backed", F.lit(1))
+    guessed = (
+        s_rows.where("entity = ''").select("software_id", "form", "said", "text").distinct()
+        .join(offers, "form")
+        .join(backed, ["software_id", "aside"], "left")
+        .withColumn("own", F.exists(F.split("aside", " "), lambda w: (F.length(w) > 3) & F.contains(F.lower(F.col("said")), w)))
+        .where("own or text = said and (choices = 1 or backed is not null)")
+        .groupBy("software_id", "product_id")
+        .agg(F.max(F.coalesce("backed", F.lit(0)) + F.col("own").cast("int")).alias("support"), F.max("weight").alias("weight"))
+        .withColumn("most", F.expr("max(support) over (partition by software_id)"))
+        .where("support = most")
+        .select(
+            "software_id", "product_id", "weight",
+            (linkage.PRODUCT_WEIGHT * F.col("weight") + linkage.HINT_WEIGHT * F.least("support", F.lit(1))).alias("confidence"),
+        )
+    )
+    matched = cut(direct.unionByName(guessed.select(direct.columns)))
+    per_spelling = cpe_of.join(matched.select("product_id").distinct(), "product_id")
+    records_of = matched.select("product_id", "software_id", F.round("confidence", 4).alias("confidence"))
+    ids = cpe.select(F.col("id").alias("cpe_id"), F.coalesce("publisher", F.lit("")).alias("publisher"), "product").join(
+        per_spelling.select(F.coalesce("publisher", F.lit("")).alias("publisher"), "product", "product_id").distinct(), ["publisher", "product"]
+    )
+    return ids.join(records_of, "product_id").groupBy("cpe_id", "software_id").agg(F.max("confidence").alias("confidence"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return product_matches(spark, folder).select("cpe_id", "software_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found)}
 
 #: DuckDB counterparts of the queries that plain SQL can express.
 SQL: dict[str, str] = {}
