@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgloom.engine import cut, join_skewed, key_spelling, small, table
-from pkgloom.llm import canonical, fingerprints, linkage, names, survivor
+from pkgloom.llm import canonical, fingerprints, linkage, names, survivor, truncation
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
 FP = ["fp_software", "fp_publisher", "fp_version"]
@@ -205,7 +205,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return product_matches(spark, folder).select("cpe_id", "software_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p9_found, p9_rates)}
 
 #: DuckDB counterparts of the queries that plain SQL can express.
 SQL: dict[str, str] = {}
