@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgloom.engine import cut, join_skewed, key_spelling, small, table
-from pkgloom.llm import canonical, fingerprints, linkage, names, survivor, truncation
+from pkgloom.llm import canonical, fingerprints, leakage, linkage, names, packing, survivor, truncation
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
 FP = ["fp_software", "fp_publisher", "fp_version"]
@@ -205,6 +205,42 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return product_matches(spark, folder).select("cpe_id", "software_id")
 
 
+#: The profile of pack_capacities that p7_packed fills.
+PROFILE = "base"
+
+
+def capacities(spark: SparkSession, folder: str) -> dict[str, int]:
+    rows = small(table(spark, folder, "pack_capacities"), 1_000, "pack_capacities")
+    return {r.profile: int(r.capacity_tokens) for r in rows}
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Container and place of every text, in the capacity of PROFILE."""
+    sizes = cut(packing.token_sizes(table(spark, folder, "documents")))
+    return packing.pack(sizes, capacities(spark, folder)[PROFILE])
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of every profile get."""
+    sizes = cut(packing.token_sizes(table(spark, folder, "documents")))
+    out = None
+    for profile, capacity in sorted(capacities(spark, folder).items()):
+        one = packing.fill(packing.pack(sizes, capacity), capacity).select(F.lit(profile).alias("profile"), F.lit(capacity).alias("capacity"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leakage.leaks(docs, table(spark, folder, "eval_items"))[0].select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged word spans to remove from each text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leakage.leaks(docs, table(spark, folder, "eval_items"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_texts(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
@@ -213,7 +249,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_rates)}
 
 #: DuckDB counterparts of the queries that plain SQL can express.
 SQL: dict[str, str] = {}
