@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pkgloom.plans import packed
+from pkgloom.plans import packed, relational
 
 
 def queries() -> dict:
-    return {"p1_found": packed.p1_found}
+    return {"p1_found": packed.p1_found} | relational.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(relational.SQL)
