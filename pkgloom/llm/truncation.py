@@ -1,8 +1,8 @@
 """Detect texts that were cut by a size limit or a broken transfer, and how often each source cuts.
 
 The vocabulary of the whole corpus (every word but the last of each text) is a trie held as a table: one row per
-prefix with the number of texts with that very word, with longer words that start so, and of lines or sentences that
-end in the word. A text is cut when what it ends in is an unknown proper prefix of known words, a known word that ends
+prefix with the uses of that very word, of longer words that start so, and with the lines or sentences that end in
+the word. A text is cut when what it ends in is an unknown proper prefix of known words, a known word that ends
 no line or sentence anywhere, or a cut mark; an end without closing sign at a length that the source's texts pile up
 at (the length evidence) counts as well.
 
@@ -12,14 +12,19 @@ texts are judged alike; deliberate dots after a whole word, signatures, links, c
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgloom.engine import cut, join_skewed
 
-#: A word is unknown when it stands in fewer than 1/RARE as many texts as the words that it begins.
+#: A word is unknown when it stands fewer than 1/RARE times as often as the words that it begins.
 RARE = 2000
-#: A known word in at least so many texts that hardly ever ends a line or sentence cannot end a text.
+#: A known word with at least so many uses that hardly ever ends a line or sentence cannot end a text.
 COMMON, END_SHARE = 20, 0.01
 #: Lengths where the texts of a source pile up: so many times what their neighbours let expect, and at least so many.
 PILE_TIMES, PILE_LEAST = 6.0, 5
@@ -32,6 +37,10 @@ PILE_SPAN = 64
 # What a transfer or a shortening tool leaves at the end.
 MARKS = r"(?:\(more\)?|\[(?:\.\.\.|…)\]|&(?:h(?:e(?:l(?:l(?:i(?:p;?)?)?)?)?)?|#\d*|amp|lt|gt|nbsp|raquo)|(?<=\S)<|�+|(?<=\p{L})-)$"
 WORD = r"\p{L}+"
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What ends a sentence or line: a closing sign before a blank, or a line break before anything but a small letter.
+BORDER = re.compile(r"[.?!:]\s|\n(?=[^a-z])")
+LAST = re.compile(r"([^\W\d_]+)[)`\"]?$")
 
 
 def _ending(text: Column) -> Column:
@@ -69,22 +78,29 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts of one batch: every word but the last of each text, and the words before unit borders."""
+    for batch in batches:
+        words, ends = Counter(), Counter()
+        for text in batch["text"].dropna():
+            text = text.lower()
+            found = LETTERS.findall(text)
+            words.update(found[:-1])
+            units = BORDER.split(text)
+            for unit in units[:-1]:
+                last = unit[unit.rfind(" ") + 1 :]
+                if last.isalpha():
+                    ends[last] += 1
+                elif m := LAST.search(unit[-60:]):
+                    ends[m[1]] += 1
+        yield pd.DataFrame({"word": list(words), "texts": list(words.values()), "ends": [ends[w] for w in words]})
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, texts, ends): texts with the word elsewhere than at their end, lines and sentences that end in it."""
-    trimmed = F.regexp_replace(F.lower("text"), rf"{WORD}[^\p{{L}}]*$", "")
-    words = (
-        docs.select(F.explode(F.array_distinct(F.split(trimmed, r"[^\p{L}]+"))).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("texts"))
-    )
-    ends = (
-        docs.select(
-            F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"({WORD})(?:\)|`|\")?(?:[.?!:](?=\s)|(?=\n[^a-z]))"), F.lit(1))).alias("word")
-        )
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("ends"))
-    )
-    return words.where("word <> ''").join(ends, "word", "left").select("word", "texts", F.coalesce("ends", F.lit(0)).alias("ends"))
+    """(word, texts, ends): uses of the word elsewhere than at the end of a text, and lines and sentences that end in it.
+    Words are counted per batch before they are shuffled."""
+    partial = docs.select("text").mapInPandas(_count_words, "word string, texts bigint, ends bigint")
+    return partial.groupBy("word").agg(F.sum("texts").alias("texts"), F.sum("ends").alias("ends"))
 
 
 def trie(words: DataFrame) -> DataFrame:
