@@ -50,11 +50,15 @@ def key_spelling(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{Nd}]+", " "))
 
 
-def spread(df: DataFrame, *columns: str, per_core: int = 3) -> DataFrame:
-    """Repartition rows ahead of CPU-bound Python work, so that all cores share them evenly."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), cores * per_core)
-    return df.repartition(n, *columns) if columns else df.repartition(n)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have yet, whatever the case of their letters."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small(df: DataFrame, limit: int, what: str) -> list:

@@ -62,12 +62,20 @@ def tail_value(tail_: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_extract(tail_, r"(?<=[.\-_])\d+(?:[.\-_]\d+)*", 0), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("decimal(38,0)"))
 
 
-def head_key(text: Column) -> Column:
-    """The first two parts of a version or of a tag that begins with one. Equal heads are a condition of every match
-    at the beginning of a tag, so that they can be the key of the join."""
-    parts = F.regexp_extract_all(F.regexp_replace(F.lower(text), "^v", ""), F.lit(r"[^\s.\-_]+"), F.lit(0))
-    two = F.slice(parts, 1, 2)
-    return F.array_join(F.when(F.size(two) > 1, F.transform(two, lambda p, i: F.when(i == 1, F.regexp_extract(p, r"^(\d*)", 1)).otherwise(p))).otherwise(two), ".")
+def _head_parts(text: Column) -> Column:
+    parts = F.slice(F.regexp_extract_all(F.regexp_replace(F.lower(text), "^v", ""), F.lit(r"[^\s.\-_]+"), F.lit(0)), 1, 2)
+    return F.transform(parts, lambda p, i: F.regexp_replace(F.regexp_extract(p, r"^(\d*)", 1), "0+$", ""))
+
+
+def head_key(version: Column) -> Column:
+    """The leading numbers of the first two parts of a version (of the only part), without trailing zeros. A tag that
+    matches the version at its beginning has this key among its ``head_keys``, so it can be the key of the join."""
+    return F.array_join(_head_parts(version), ".")
+
+
+def head_keys(tag: Column) -> Column:
+    parts = _head_parts(tag)
+    return F.array_distinct(F.array(F.array_join(parts, "."), F.array_join(F.slice(parts, 1, 1), ".")))
 
 
 def best_matches(rows: DataFrame, keys: list[str], text: str, version: str, suffix: str, order: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut
+from pkgloom.engine import cut, unused
 
 #: Rules are broadcast while there are at most so many skeletons (about 300 bytes each); beyond it they are shuffled.
 BROADCAST_SKELETONS = 50_000
@@ -217,7 +217,8 @@ def _rules(dialect: str):
 def split_values(
     df: DataFrame, field: str, dialect: str = "prose", vocabulary: Iterable[str] = (), names: Iterable[str] = ()
 ) -> DataFrame:
-    """``df`` with a column ``values_``: the values packed in ``field``, in order, as an array (empty for none).
+    """``df`` with a column ``values_``: the values packed in ``field``, in order, as an array (empty for none). A column
+    of that name is replaced; other columns may have any names.
 
     ``vocabulary``: single words that are values of their own in a list with nothing but blanks between its items.
     ``names``: values whose own text holds "and" or "or"; next to their words these do not separate.
@@ -237,21 +238,22 @@ def split_values(
         F.lit("(?s)" + (PROSE_TOKENS if dialect == "prose" else TERMS_TOKENS)),
         F.lit(0),
     )
-    cutup = df.withColumn("tokens_", tokens).withColumn(
-        "skeleton", F.array_join(F.transform("tokens_", lambda t: _class(t, dialect, words)), "")
+    t, s, r = unused(df, "tokens_", "skeleton_", "rule_")
+    cutup = df.withColumn(t, tokens).withColumn(s, F.array_join(F.transform(t, lambda x: _class(x, dialect, words)), ""))
+    skeletons = cutup.select(F.col(s).alias("skeleton")).distinct()
+    rules = cut(skeletons.mapInPandas(_rules(dialect), f"skeleton string, rule {RULE}")).select(
+        F.col("skeleton").alias(s), F.col("rule").alias(r)
     )
-    skeletons = cutup.select("skeleton").distinct()
-    rules = cut(skeletons.mapInPandas(_rules(dialect), f"skeleton string, rule {RULE}"))
     if rules.count() <= BROADCAST_SKELETONS:
         rules = F.broadcast(rules)
 
-    def value(r: Column) -> Column:
-        text = _restore(F.array_join(F.slice("tokens_", r["start"], r["size"]), ""))
+    def value(x: Column) -> Column:
+        text = _restore(F.array_join(F.slice(t, x["start"], x["size"]), ""))
         plain = F.regexp_replace(F.regexp_replace(text, r"\\([\"'])", "$1"), '""', '"')
-        return F.trim(F.when(r["quoted"], plain).otherwise(text))
+        return F.trim(F.when(x["quoted"], plain).otherwise(text))
 
-    found = cutup.join(rules, "skeleton", "left").withColumn("values_", F.filter(F.transform("rule", value), lambda v: v != ""))
-    return found.drop("tokens_", "skeleton", "rule")
+    found = cutup.join(rules, s, "left").withColumn("values_", F.filter(F.transform(r, value), lambda v: v != ""))
+    return found.drop(t, s, r)
 
 
 def explode_values(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

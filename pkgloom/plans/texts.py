@@ -140,7 +140,7 @@ def _tags(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def tag_match(spark: SparkSession, d: str) -> DataFrame:
     """Per project and shortened version the tag that fits it best."""
     asked, tags = _tags(spark, d)
-    pairs = asked.withColumn("head", V.head_key(F.col("wanted"))).join(tags.withColumn("head", V.head_key(F.col("tag"))), ["project", "head"])
+    pairs = asked.withColumn("head", V.head_key(F.col("wanted"))).join(tags.withColumn("head", F.explode(V.head_keys(F.col("tag")))), ["project", "head"])
     best = V.best_matches(pairs, ["project", "wanted", "suffix"], "tag", "wanted", "suffix", ["pos", "tag"])
     return best.select("project", "wanted", "suffix", "tag", "is_exact")
 
