@@ -164,8 +164,9 @@ class CanonicalList:
 def map_values(df: DataFrame, column: str, entries: list[tuple[str, str | None]]) -> DataFrame:
     """``df`` with a column ``identifier`` for the non-null, non-empty values of ``column``; other rows are dropped.
 
-    ``entries`` is the bounded canonical list. Each worker holds the trie; there is no shuffle, so a spelling that
+    A column of that name is replaced. ``entries`` is the bounded canonical list. Each worker holds the trie; there is no shuffle, so a spelling that
     fills a third of the table costs one search per worker."""
+    df = df.drop("identifier")
     names = df.columns
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut, join_skewed, key_spelling
+from pkgloom.engine import cut, join_skewed, key_spelling, unused
 from pkgloom.llm.rolling import same_spelling, text_hashes
 
 
@@ -56,25 +56,27 @@ def _verified(fields: list[str]):
 
 
 def copy_groups(df: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
-    """One row per distinct raw form of ``fields`` (nulls as ''): the form, ``first_id`` (the smallest ``key`` of its
-    group), ``form_copies`` and ``copies`` (rows of the form and of the group)."""
-    raw = df.select(key, *[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields])
-    forms = raw.groupBy(*fields).agg(F.min(key).alias("form_id"), F.count(F.lit(1)).alias("form_copies"))
-    kind = dict(raw.dtypes)[key]
-    columns = ", ".join(f"`{f}` string" for f in fields)
+    """One row per distinct raw form of ``fields`` (nulls as '', named f0, f1, ...): the form, ``first_id`` (the smallest
+    ``key`` of its group), ``form_copies`` and ``copies`` (rows of the form and of the group). Rows without a key are
+    left out, since they cannot be named."""
+    f = [f"f{k}" for k in range(len(fields))]
+    raw = _raw(df, fields, key)
+    forms = raw.groupBy(*f).agg(F.min("row_id").alias("form_id"), F.count(F.lit(1)).alias("form_copies"))
+    kind = dict(raw.dtypes)["row_id"]
+    columns = ", ".join(f"{c} string" for c in f)
     hashed = cut(
-        forms.mapInPandas(_hashed(fields), f"{columns}, form_id {kind}, form_copies bigint, hash_a bigint, hash_b bigint")
+        forms.mapInPandas(_hashed(f), f"{columns}, form_id {kind}, form_copies bigint, hash_a bigint, hash_b bigint")
     )
-    members = F.struct(F.col("form_id"), *[F.col(f) for f in fields])
+    members = F.struct(F.col("form_id"), *[F.col(c) for c in f])
     groups = cut(
         hashed.groupBy("hash_a", "hash_b")
         .agg(F.min(members).alias("m"), F.count(F.lit(1)).alias("forms"))
-        .select("hash_a", "hash_b", "forms", *[F.col(f"m.{f}").alias(f"of_{f}") for f in fields])
+        .select("hash_a", "hash_b", "forms", *[F.col(f"m.{c}").alias(f"of_{c}") for c in f])
     )
     paired = join_skewed(hashed, groups, ["hash_a", "hash_b"], "forms")
     schema = ", ".join(f"`{n}` {t}" for n, t in paired.dtypes) + ", same boolean"
-    checked = cut(paired.mapInPandas(_verified(fields), schema))
-    spelled = F.array_join(F.array_sort(F.array(*[key_spelling(F.col(f)) for f in fields])), "\u0001")
+    checked = cut(paired.mapInPandas(_verified(f), schema))
+    spelled = F.array_join(F.array_sort(F.array(*[key_spelling(F.col(c)) for c in f])), "\u0001")
     checked = checked.withColumn("exact", F.when(F.col("same"), F.lit("")).otherwise(spelled))
     totals = cut(
         checked.groupBy("hash_a", "hash_b", "exact").agg(
@@ -82,19 +84,28 @@ def copy_groups(df: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
         )
     )
     out = join_skewed(
-        checked.select("hash_a", "hash_b", "exact", "form_copies", *fields), totals, ["hash_a", "hash_b", "exact"], "n_forms"
+        checked.select("hash_a", "hash_b", "exact", "form_copies", *f), totals, ["hash_a", "hash_b", "exact"], "n_forms"
     )
-    return out.select(*fields, "first_id", "form_copies", "copies")
+    return out.select(*f, "first_id", "form_copies", "copies")
+
+
+def _raw(df: DataFrame, fields: list[str], key: str) -> DataFrame:
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"f{k}") for k, c in enumerate(fields)]
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("row_id"), *named)
 
 
 def copy_links(df: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """(first_id, copy_id): every row of a group of copies other than the one with the smallest ``key``."""
     forms = cut(copy_groups(df, fields, key).where("copies > 1"))
-    raw = df.select(F.col(key).alias("copy_id"), *[F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields])
-    return join_skewed(raw, forms, fields, "form_copies").where("copy_id <> first_id").select("first_id", "copy_id")
+    raw = _raw(df, fields, key)
+    joined = join_skewed(raw, forms, [f"f{k}" for k in range(len(fields))], "form_copies")
+    return joined.where("row_id <> first_id").select("first_id", F.col("row_id").alias("copy_id"))
 
 
 def collapse(df: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
-    """One record per group of copies: the row with the smallest ``key``, all its columns, and ``copies``."""
+    """One record per group of copies: the row with the smallest ``key``, all its columns, and ``copies``, which
+    replaces a column of that name."""
+    (first,) = unused(df, "first_id_")
     firsts = copy_groups(df, fields, key).groupBy("first_id").agg(F.max("copies").alias("copies"))
-    return df.join(firsts, df[key] == firsts["first_id"]).drop("first_id")
+    firsts = firsts.withColumnRenamed("first_id", first)
+    return df.drop("copies").join(firsts, F.col(key) == F.col(first)).drop(first)

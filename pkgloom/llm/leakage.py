@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,11 +241,11 @@ def find_runs(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     """(doc_id, item, starts, ends, places): per text and item number the item's word ranges found and the word of the
     text where each begins."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ItemSet(items)
         lookup = known.vocabulary | {"\x00": -1}
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             parts, held, size = [], [], 0
             for t in texts:
                 held.append(t.replace("\x00", " "))
@@ -272,10 +273,13 @@ def find_runs(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 {"doc": doc, "item": found[:, 1], "starts": found[:, 2], "ends": found[:, 3], "places": found[:, 0] - start}
             )
             grouped = frame.groupby(["doc", "item"], sort=True).agg(list).reset_index()
-            grouped["doc_id"] = batch["doc_id"].to_numpy()[grouped["doc"]]
-            yield grouped[["doc_id", "item", "starts", "ends", "places"]]
+            lists = [pa.array(grouped[c].tolist(), type=pa.list_(pa.int64())) for c in ("starts", "ends", "places")]
+            named = batch.column("doc_id").take(pa.array(grouped["doc"].to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [named, pa.array(grouped["item"].to_numpy(), type=pa.int64()), *lists], names=["doc_id", "item", "starts", "ends", "places"]
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         work, "doc_id bigint, item bigint, starts array<bigint>, ends array<bigint>, places array<bigint>"
     )
 
@@ -309,7 +313,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
             continue
         runs = cut(find_runs(docs, listed))
         masks = _notices(runs, texts, known)
-        ids, lengths = known.ids, known.lengths
+        ids, lengths = [None if i is None else str(i) for i in known.ids], known.lengths
 
         def share(batches: Iterator[pd.DataFrame], masks=masks, ids=ids, lengths=lengths) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -324,7 +328,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
                         out.append((doc, ids[item], float(part), [[int(p), int(p + z - a)] for p, a, z in zip(places, starts, ends, strict=True)]))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "share", "spans"])
 
-        judged = cut(runs.mapInPandas(share, "doc_id bigint, item_id bigint, share double, spans array<array<bigint>>"))
+        # ids travel as text, which stays exact where some are null
+        texted = runs.withColumn("doc_id", F.col("doc_id").cast("string"))
+        judged = cut(texted.mapInPandas(share, "doc_id string, item_id string, share double, spans array<array<bigint>>"))
+        judged = judged.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("item_id", F.col("item_id").cast("bigint"))
         one = judged.select("doc_id", "item_id", F.round("share", 6).alias("share"))
         flat = judged.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s")[0].alias("a"), F.col("s")[1].alias("z"))
         found = one if found is None else found.unionByName(one)

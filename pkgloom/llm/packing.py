@@ -17,6 +17,7 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +57,13 @@ def token_sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, tokens) of every text."""
     path = path or default_vocabulary()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": count_tokens(batch["text"].fillna("").tolist(), path)})
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            counts = pa.array(count_tokens(texts, path), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id bigint, tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(work, "doc_id bigint, tokens bigint")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -124,6 +127,7 @@ def _pack(capacity: int, level: int, least: int):
 def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     """(container, place, doc_id, piece, first_token, tokens): where every text went. ``sizes``: (doc_id, tokens)."""
     whole = F.floor(F.col("tokens") / capacity).cast("int")
+    sizes = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
     pieces = sizes.withColumn(
         "piece",
         F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / capacity).cast("int") - 1))),

@@ -105,23 +105,26 @@ def drop_subsets(values: DataFrame) -> DataFrame:
 
 
 def best_values(df: DataFrame, group: str, texts: list[str], lists: list[str], time: str, key: str = "id") -> DataFrame:
-    """(first_id, field_name, best_id) per group of at least two rows and field: see TESTDATA problem 5."""
-    rows = df.where(F.col(group).isNotNull()).withColumn("key", key_spelling(F.col(group)))
-    groups = rows.groupBy("key").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """(first_id, field_name, best_id) per group of at least two rows and field. ``group`` is taken by its key spelling;
+    rows without a group or a key are left out."""
+    known_ids = df.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    rows = known_ids.select(
+        key_spelling(F.col(group)).alias("key"), F.col(key).alias("row_id"), F.col(time).alias("at"),
+        *[F.col(f).alias(f"v{k}") for k, f in enumerate([*texts, *lists])],
+    )
+    groups = rows.groupBy("key").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     coded = [
-        F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"), F.lit(None).cast("array<string>").alias("items"))
-        for f in texts
+        F.struct(F.lit(f).alias("field_name"), F.col(f"v{k}").alias("value"), F.lit(None).cast("array<string>").alias("items"))
+        for k, f in enumerate(texts)
     ] + [
         F.struct(
             F.lit(f).alias("field_name"),
-            F.array_join(F.transform(f, lambda x: F.concat(F.coalesce(x, F.lit("\u0002")), F.lit(END))), "").alias("value"),
-            F.col(f).alias("items"),
+            F.array_join(F.transform(f"v{k}", lambda x: F.concat(F.coalesce(x, F.lit("\u0002")), F.lit(END))), "").alias("value"),
+            F.col(f"v{k}").alias("items"),
         )
-        for f in lists
+        for k, f in enumerate(lists, len(texts))
     ]
-    stacked = rows.select("key", F.col(key).alias("row_id"), F.col(time).alias("at"), F.inline(F.array(*coded))).where(
-        F.col("value").isNotNull()
-    )
+    stacked = rows.select("key", "row_id", "at", F.inline(F.array(*coded))).where(F.col("value").isNotNull())
     values = cut(
         stacked.groupBy("key", "field_name", "value").agg(
             F.max("at").alias("at"), F.min("row_id").alias("best_id"), F.first("items").alias("items")
