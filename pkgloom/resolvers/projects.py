@@ -195,7 +195,7 @@ def rubygem(df: DataFrame, keys: list[str]) -> DataFrame:
     """Payload: package, url, version, inherited, gem (JSON), and the record of the source project where there is one
     (columns source_publisher, source_description, source_release_date)."""
     info = text("gem", "$.info")
-    spelled = F.regexp_extract(info, F.concat(F.lit(r"(?i)\b("), F.regexp_replace("package", r"([^\p{L}\p{Nd}])", r"\\$1"), F.lit(r")\b")), 1)
+    spelled = F.regexp_substr(info, F.concat(F.lit(r"(?i)\b"), F.regexp_replace("package", r"([^\p{L}\p{Nd}])", r"\\$1"), F.lit(r"\b")))
     return record(
         df, keys,
         software=first(F.coalesce(spelled, F.lit("")), text("gem", "$.name"), F.col("package")), software_alternative=F.array("package", F.concat(F.lit("rubygem-"), "package")),
