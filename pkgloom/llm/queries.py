@@ -251,5 +251,35 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_rates)}
 
+
+
+def _spelled(column: str) -> str:
+    return rf"trim(regexp_replace(lower(coalesce({column}, '')), '[^\pL\p{{Nd}}]+', ' ', 'g'))"
+
+
+_COPIES = f"""k as (select *, list_sort([{_spelled("fp_software")}, {_spelled("fp_publisher")}, {_spelled("fp_version")}]) as k from software_info),
+g as (select k, min(id) as first_id, count(*) as copies from k group by k)"""
+_STAND_INS = ", ".join(f"'{s}'" for s in survivor.STAND_INS)
+
+
+def _silent(value: str) -> str:
+    return rf"(lower(trim(regexp_replace({value}, '[\s\x{{a0}}]+', ' ', 'g'))) in ({_STAND_INS}, ''))"
+
+
+_VALUES = f"""r as (select *, {_spelled("projectname_seed")} as k from packages_info where projectname_seed is not null),
+p as (select k, min(id) as first_id from r group by k having count(*) > 1),
+st as (select k, id, observed_at, 'homepage' as field_name, homepage as v, null::varchar[] as items from r
+ union all select k, id, observed_at, 'description', description, null from r
+ union all select k, id, observed_at, 'licenses', array_to_string(list_transform(licenses, lambda x: concat(coalesce(x, chr(2)), chr(1))), ''), licenses from r),
+d as (select k, field_name, v, any_value(items) as items, max(observed_at) as at, min(id) as best_id from st where v is not null group by all),
+u as (select * from d where case when items is null then not {_silent("v")} else len(list_filter(items, lambda x: x is not null and not {_silent("x")})) > 0 end
+ and not exists (select 1 from d w where w.k = d.k and w.field_name = d.field_name and w.v <> d.v and starts_with(w.v, d.v))
+ and (items is null or not exists (select 1 from d w where w.k = d.k and w.field_name = d.field_name and len(list_distinct(w.items)) > len(list_distinct(d.items)) and list_has_all(w.items, list_distinct(d.items)))))"""
+
 #: DuckDB counterparts of the queries that plain SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": f"with {_COPIES} select g.first_id, k.id as copy_id from k join g using (k) where k.id <> g.first_id",
+    "p3_collapsed": f"with {_COPIES} select k.id, fp_software, fp_publisher, fp_version, g.copies from k join g using (k) where k.id = g.first_id",
+    "p5_found": f"""with {_VALUES} select p.first_id, u.field_name, u.best_id from u join p using (k)
+qualify row_number() over (partition by u.k, u.field_name order by u.at desc nulls last, length(u.v) desc, u.best_id) = 1""",
+}

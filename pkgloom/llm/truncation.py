@@ -36,6 +36,7 @@ PILE_SPAN = 64
 
 # What a transfer or a shortening tool leaves at the end.
 MARKS = r"(?:\(more\)?|\[(?:\.\.\.|…)\]|&(?:h(?:e(?:l(?:l(?:i(?:p;?)?)?)?)?)?|#\d*|amp|lt|gt|nbsp|raquo)|(?<=\S)<|�+|(?<=\p{L})-)$"
+MARKED = re.compile(MARKS.replace(r"\p{L}", r"[^\W\d_]") + "|(?:…|\\.\\.\\.)$")
 WORD = r"\p{L}+"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What ends a sentence or line: a closing sign before a blank, or a line break before anything but a small letter.
@@ -83,7 +84,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         words, ends = Counter(), Counter()
         for text in batch["text"].dropna():
-            text = text.lower()
+            text = text.lower().rstrip()
+            text = text[:-40] + MARKED.sub("", text[-40:])
             found = LETTERS.findall(text)
             words.update(found[:-1])
             units = BORDER.split(text)
@@ -93,7 +95,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ends[last] += 1
                 elif m := LAST.search(unit[-60:]):
                     ends[m[1]] += 1
-        yield pd.DataFrame({"word": list(words), "texts": list(words.values()), "ends": [ends[w] for w in words]})
+        if words:
+            yield pd.DataFrame({"word": list(words), "texts": list(words.values()), "ends": [ends[w] for w in words]})
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
