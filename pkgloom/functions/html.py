@@ -58,3 +58,38 @@ def html_text(pages: pd.Series) -> pd.Series:
 def refresh_target(html: Column) -> Column:
     """The address of a refresh tag, '' for none."""
     return F.regexp_extract(html, r"(?is)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*url=[\"']?([^\"'>\s;]+)", 1)
+
+
+class _Cells(HTMLParser):
+    """Cells of the first row of the table inside the element with the asked id."""
+
+    def __init__(self, element: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.element, self.inside, self.open, self.cells = element, False, False, []
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if dict(attrs).get("id") == self.element:
+            self.inside = True
+        elif self.inside and tag == "td":
+            self.open = True
+            self.cells.append("")
+
+    def handle_endtag(self, tag) -> None:
+        if tag == "td":
+            self.open = False
+
+    def handle_data(self, data) -> None:
+        if self.open:
+            self.cells[-1] += data
+
+
+@F.pandas_udf(StringType())
+def copyright_license(pages: pd.Series) -> pd.Series:
+    """The third cell of the table of copyright information, null for none."""
+
+    def one(page: str | None) -> str | None:
+        reader = _Cells("copyright_info")
+        reader.feed(page or "")
+        return (reader.cells[2].strip() or None) if len(reader.cells) > 2 else None
+
+    return pd.Series([one(p) for p in pages], dtype=object)

@@ -71,18 +71,34 @@ def supported_host(url: Column) -> Column:
     return F.coalesce(hit, F.lit(False)) & (F.coalesce(url, F.lit("")) != "")
 
 
-def short_project_url(url: Column) -> Column:
-    """A code host's address cut to owner and repository, a download site's to the project."""
+def corrected_url(url: Column, package: Column | None = None) -> Column:
+    """The address that a project is read from: a code host's cut to owner and repository, a download site's to the
+    project, a Perl index address turned into that of the release; others stay. A Perl address without a path takes the
+    distribution from the package name. A repository whose name has a dot is a page of its owner (see ``owner_page``)."""
     text = F.regexp_replace(url, r"[?#].*$", "")
+    github = F.regexp_extract(text, r"github\.com/([^/]+/[^/]+)", 1)
+    forge = F.regexp_extract(text, r"^(.*?sourceforge\.net/projects/[^/]+)", 1)
+    bare = F.regexp_replace(text, "/+$", "")
+    path = F.regexp_extract(bare, r"^(?:https?://)?+[^/]+/(.+)$", 1)
+    named = F.coalesce(F.nullif(F.regexp_extract(path, "([^/]+)$", 1), F.lit("")), package if package is not None else F.lit(None).cast("string"))
+    release = F.regexp_replace(F.regexp_replace(named, r"-\d+\.\d+", ""), "::", "-")
     return (
-        F.when(host(url).contains("github.com"), F.regexp_extract(text, r"^((?:https?://)?[^/]+/[^/]+/[^/]+)", 1))
-        .when(host(url).contains("sourceforge."), F.regexp_extract(text, r"^((?:https?://)?[^/]+/(?:projects?|p)/[^/]+)", 1))
-        .otherwise(F.lit(""))
+        F.when(github != "", F.concat(F.lit("https://github.com/"), github))
+        .when(forge != "", forge)
+        .when(host(url).contains("fastapi.metacpan."), bare)
+        .when(host(url).contains("metacpan.") & release.isNotNull(), F.concat(F.lit("https://fastapi.metacpan.org/v1/release/"), release))
+        .otherwise(url)
     )
 
 
-def corrected_url(url: Column) -> Column:
-    return let(short_project_url(url), lambda s: F.when(s != "", s).otherwise(url))
+def owner_page(url: Column) -> Column:
+    """Whether a code host's address names a page of its owner, so that the repository has to be looked for."""
+    return F.regexp_extract(url, r"github\.com/[^/]+/([^/?#]+)", 1).contains(".")
+
+
+def service_name(url: Column) -> Column:
+    """The project's name in the address of a package service, '' for none."""
+    return F.regexp_extract(url, r"(?:pypi\.[^/]+/(?:project|pypi)|rubygems\.org/gems|sourceforge\.net/projects|github\.com/[^/]+)/([^/?#]+)", 1)
 
 
 def without_version_suffix(name: Column, version: Column) -> Column:
@@ -196,3 +212,22 @@ def distinct_names(names: Column, redundant: Column) -> Column:
             lambda n: n.isNotNull(),
         )
     )
+
+
+def control_description(text: Column) -> Column:
+    """The lines after that with "description:" up to the first one without a letter or digit; '' where the text has no
+    such end."""
+    lines = F.split(text, r"\r?\n")
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: F.contains(F.lower(F.element_at(lines, k.cast("int"))), F.lit("description:")))
+
+    def body(at: Column) -> Column:
+        rest = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
+        blank = F.get(F.filter(F.transform(rest, lambda x, i: F.when(~x.rlike(r"(?U)\w"), i)), lambda i: i.isNotNull()), F.lit(0))
+        return F.when(blank.isNull(), F.lit("")).otherwise(F.trim(F.array_join(F.slice(rest, F.lit(1), blank), "\n")))
+
+    return F.when(F.size(starts) > 0, let(F.get(starts, F.lit(0)), body)).otherwise(F.lit(""))
+
+
+def author_list(authors: Column) -> Column:
+    """Authors without their addresses, sorted, as one text."""
+    return F.array_join(F.array_sort(F.transform(authors, lambda a: F.trim(F.regexp_replace(a, r"<[^>]*>", "")))), ", ")

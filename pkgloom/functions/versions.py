@@ -99,6 +99,17 @@ def best_matches(rows: DataFrame, keys: list[str], text: str, version: str, suff
     return hits.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
 
 
+def best_date_tags(rows: DataFrame, keys: list[str], text: str, date: str, suffix: str, order: list[str]) -> DataFrame:
+    """Per key the tag whose date fits a version that is a date (``date``, ISO): same date and suffix, same date, same
+    suffix, same month; ties by ``order``. Only tags that name year and month are read."""
+    year, month = F.year(F.to_date(date)), F.month(F.to_date(date))
+    near = rows.where(F.contains(F.col(text), year.cast("string")) & F.contains(F.col(text), month.cast("string")))
+    found = near.withColumn("found", F.to_date(dates.first_date(text)))
+    ranked = found.withColumn("fit", date_tag_rank(year, month, F.day(F.to_date(date)), F.col("found"), F.col(text), F.col(suffix))).where("fit is not null")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("fit", *order))
+    return ranked.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
+
+
 def changelog_release(text: str | None, version: str | None, suffix: str | None) -> str | None:
     """ISO date of a version in a changelog: on its line, else a yearless date with the first possible later year."""
     if not text or not version:

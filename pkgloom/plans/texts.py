@@ -48,24 +48,46 @@ def strip_lib_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "packages_info").select("id", N.without_lib(F.col("package")).alias("name"))
 
 
-_H = r"lower(regexp_extract(coalesce(homepage, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1))"
-_P = r"regexp_extract(coalesce(homepage, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]+(/[^?#]*)', 1)"
+#: Addresses of public services made of the index rows: (Spark and DuckDB expression).
+ADDRESS = """case id % 6 when 0 then concat('https://github.com/', coalesce(family, 'x'), '/', package, '/tree/main?tab=1') when 1 then concat('https://www.sourceforge.net/projects/', package, '/files')
+ when 2 then concat('https://metacpan.org/dist/', package, '-1.20') when 3 then concat('gitlab.example.org/', package) when 4 then concat('https://pypi.org/project/', package) else homepage end"""
+
+
+def _addresses(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "packages_info").select("id", F.expr(ADDRESS).alias("url"))
+
+
+_H = r"lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1))"
+_P = r"regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]+(/[^?#]*)', 1)"
 
 
 @query(
-    f"select id, case when length({_P}) > 0 then case "
+    f"with u as (select id, {ADDRESS} as url from packages_info) select id, case when length({_P}) > 0 then case "
     + " ".join(f"when {' or '.join(f'''contains({_H}, '{k}')''' for k in ks)} then '{n}'" for n, ks in N.HOSTS)
-    + " end end as service from packages_info"
+    + " end end as service from u"
 )
 def url_to_project(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "packages_info").select("id", N.project_service(F.col("homepage")).alias("service"))
+    return _addresses(spark, d).select("id", N.project_service(F.col("url")).alias("service"))
 
 
-@query(rf"""with s as (select id, homepage, case when contains({_H}, 'github.com') then regexp_extract(regexp_replace(homepage, '[?#].*$', ''), '^((?:https?://)?[^/]+/[^/]+/[^/]+)', 1)
- when contains({_H}, 'sourceforge.') then regexp_extract(regexp_replace(homepage, '[?#].*$', ''), '^((?:https?://)?[^/]+/(?:projects?|p)/[^/]+)', 1) else '' end as short from packages_info)
-select id, case when short <> '' then short else homepage end as url from s""")
+@query(rf"""with u as (select id, {ADDRESS} as url from packages_info), t as (select *, regexp_replace(url, '[?#].*$', '') as t from u)
+select id, case when regexp_extract(t, 'github\.com/([^/]+/[^/]+)', 1) <> '' then concat('https://github.com/', regexp_extract(t, 'github\.com/([^/]+/[^/]+)', 1))
+ when contains(t, 'sourceforge.net/projects/') then regexp_extract(t, '^(.*?sourceforge\.net/projects/[^/]+)', 1)
+ when contains(t, '//metacpan.org/') then concat('https://fastapi.metacpan.org/v1/release/', regexp_replace(regexp_extract(t, '([^/]+)$', 1), '-\d+\.\d+', '', 'g')) else url end as url from t""")
 def correct_url(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "packages_info").select("id", N.corrected_url(F.col("homepage")).alias("url"))
+    return _addresses(spark, d).select("id", N.corrected_url(F.col("url")).alias("url"))
+
+
+@query(rf"""with u as (select id, {ADDRESS} as url from packages_info)
+select id, coalesce(regexp_extract(url, '(?:pypi\.[^/]+/(?:project|pypi)|rubygems\.org/gems|sourceforge\.net/projects|github\.com/[^/]+)/([^/?#]+)', 1), '') as name from u""")
+def service_names(spark: SparkSession, d: str) -> DataFrame:
+    return _addresses(spark, d).select("id", F.coalesce(N.service_name(F.col("url")), F.lit("")).alias("name"))
+
+
+@query(r"""select doc_id, trim(regexp_extract(text, '(?is)^.*?description:[^\n]*\n(.*?\w[^\n]*)\n[^\pL\pN_\n]*(?:\n|$)', 1), ' ') as description from documents where source = 'control'""")
+def control_description(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("source = 'control'")
+    return docs.select("doc_id", N.control_description(F.col("text")).alias("description"))
 
 
 @query("with l as (select id, unnest(licenses) as license from packages_info) select id, license, regexp_replace(license, 'LicenseRef-[^-]+-', '', 'g') as plain from l")

@@ -98,3 +98,15 @@ def first_way(keys: list[str], *ways: DataFrame) -> DataFrame:
         one = way.select(*keys, *FIELDS).withColumn("way", F.lit(k))
         united = one if united is None else united.unionByName(one)
     return best_of(united.where("package_url <> ''"), keys, [F.col("way"), F.col("name"), F.col("package_url")])
+
+
+def best_repository(repositories: DataFrame, keys: list[str]) -> DataFrame:
+    """Of an owner's repositories (pos, package, repo, url) that whose name parts are the package's, else the first whose
+    parts contain the package's or are contained in them."""
+    def parts(c: str) -> Column:
+        return F.split(F.lower(c), r"[-_\s]+")
+
+    mine, theirs = parts("package"), parts("repo")
+    fits = (F.size(F.array_except(mine, theirs)) == 0) | (F.size(F.array_except(theirs, mine)) == 0)
+    hits = repositories.where((filled(F.col("repo")) != "") & (filled(F.col("url")) != "")).where(fits)
+    return best_of(hits, keys, [(mine != theirs).cast("int"), F.col("pos")])

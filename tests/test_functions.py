@@ -62,6 +62,12 @@ def test_names(spark):
     assert one(spark, names.project_service(lit("https://github.com/"))) == "github"
     assert one(spark, names.project_service(lit("github.com"))) is None
     assert one(spark, names.corrected_url(lit("https://github.com/o/r/tree/x?y"))) == "https://github.com/o/r"
+    assert one(spark, names.corrected_url(lit("https://metacpan.org/"), lit("Foo-Bar"))) == "https://fastapi.metacpan.org/v1/release/Foo-Bar"
+    assert one(spark, names.corrected_url(lit("https://metacpan.org/release/Foo::Bar-1.2"))) == "https://fastapi.metacpan.org/v1/release/Foo-Bar"
+    assert one(spark, names.owner_page(lit("https://github.com/o/o.github.io"))) is True
+    assert one(spark, names.author_list(F.array(lit("B <b@x>"), lit("A")))) == "A, B"
+    assert one(spark, names.control_description(lit("Package: x\nDescription: y\n line\n more\n .\nend"))) == "line\n more"
+    assert one(spark, names.control_description(lit("Package: x\nDescription: y\n line"))) == ""
     assert one(spark, names.source_name(lit("foo5-bar5"), lit("5.1"))) == "foo-bar"
     assert one(spark, names.distinct_names(F.array(lit("a"), lit("A"), lit("b"), lit(None)), F.array(lit("B")))) == ["A"]
     assert one(spark, names.with_suffix(lit("1.0"), lit("rc1"))) == "1.0 rc1"
@@ -136,3 +142,22 @@ def test_html(spark):
     assert html.text_of("<html><head><title>no</title></head><p>Hello <b>you</b></p><ul><li>item</li></ul><img alt='pic'><script>x</script>end") == "Hello you picend"
     assert html.text_of(None) == ""
     assert one(spark, html.refresh_target(F.lit('<meta http-equiv="refresh" content="0; url=https://x.example/a">'))) == "https://x.example/a"
+
+
+def test_copyright_cell(spark):
+    df = spark.createDataFrame([("<div id='copyright_info'><table><tr><td>a</td><td>b</td><td> MIT </td></tr></table></div>",), ("<p>no</p>",), (None,)], "h string")
+    assert [r.x for r in df.select(html.copyright_license("h").alias("x")).collect()] == ["MIT", None, None]
+
+
+def test_date_tags(spark):
+    rows = [(1, "2021-07-15", None, t, k) for k, t in enumerate(["release-2021-07-01", "r2021-07-15rc1", "2021-07-15", "2020-07-15"])]
+    df = spark.createDataFrame(rows, "id int, day string, suffix string, tag string, pos int")
+    assert [(r.tag, r.fit) for r in versions.best_date_tags(df, ["id"], "tag", "day", "suffix", ["pos"]).collect()] == [("2021-07-15", 0)]
+
+
+def test_repository_choice(spark):
+    from pkgloom.resolvers.packages import best_repository
+
+    rows = [(1, 0, "foo-bar", "foo", "u0"), (1, 1, "foo-bar", "bar_foo", "u1"), (1, 2, "foo-bar", "foo_bar", "u2"), (2, 0, "foo", "other", "u3"), (3, 0, "foo", "foo-x", "u4")]
+    df = spark.createDataFrame(rows, "id int, pos int, package string, repo string, url string")
+    assert {(r.id, r.url) for r in best_repository(df, ["id"]).collect()} == {(1, "u2"), (3, "u4")}
