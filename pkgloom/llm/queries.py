@@ -12,6 +12,9 @@ from pkgloom.engine import cut, join_skewed, key_spelling, small, table
 from pkgloom.llm import canonical, fingerprints, leakage, linkage, names, packing, survivor, truncation
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
+#: Parts into which the records of one product are spread when they meet its dictionary entries.
+SALTS = 16
+
 FP = ["fp_software", "fp_publisher", "fp_version"]
 
 
@@ -198,7 +201,10 @@ def product_matches(spark: SparkSession, folder: str) -> DataFrame:
     ids = cpe.select(F.col("id").alias("cpe_id"), F.coalesce("publisher", F.lit("")).alias("publisher"), "product").join(
         per_spelling.select(F.coalesce("publisher", F.lit("")).alias("publisher"), "product", "product_id").distinct(), ["publisher", "product"]
     )
-    return ids.join(records_of, "product_id").groupBy("cpe_id", "software_id").agg(F.max("confidence").alias("confidence"))
+    # a product that many records name is spread over SALTS tasks
+    spread = records_of.withColumn("salt", F.pmod(F.xxhash64("software_id"), F.lit(SALTS)))
+    salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(spread, ["product_id", "salt"]).groupBy("cpe_id", "software_id").agg(F.max("confidence").alias("confidence"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
