@@ -87,20 +87,25 @@ def link_roles(packages: DataFrame) -> DataFrame:
     return packages.select(*KEY).distinct().join(grouped, KEY, "left")
 
 
-def best_urls(packages: DataFrame, links: DataFrame) -> DataFrame:
-    """Per project and family the most referenced address of each role; ties go to the smallest link id."""
+def chosen_urls(packages: DataFrame, links: DataFrame) -> DataFrame:
+    """The most referenced address of each role per project and family that has one; ties go to the smallest link id."""
     ids = link_groups(packages).where(F.col("link_type").isin([k for k, _ in ROLES])).select(*KEY, "link_type", F.explode("ids").alias("id"))
     found = ids.join(links.select("id", "url", "refcount"), "id")
     rank = F.struct(F.coalesce("refcount", F.lit(2**31 - 1)), -F.col("id"))
-    chosen = found.groupBy(*KEY).agg(
+    return found.groupBy(*KEY).agg(
         *[F.max_by(F.when(F.col("link_type") == k, F.col("url")), F.when(F.col("link_type") == k, rank)).alias(name) for k, name in ROLES]
     )
-    return packages.select(*KEY).distinct().join(chosen, KEY, "left")
+
+
+def best_urls(packages: DataFrame, links: DataFrame) -> DataFrame:
+    """The chosen addresses of every project and family, null for none."""
+    return packages.select(*KEY).distinct().join(chosen_urls(packages, links), KEY, "left")
 
 
 def build_package_index(packages: DataFrame, links: DataFrame) -> DataFrame:
     """The package index. Names and versions of a pair run in lockstep, the shorter list padded with nulls."""
-    joined = attributes(packages).join(best_urls(packages, links), KEY)
+    keyed = attributes(packages).where("projectname_seed is not null and family is not null")
+    joined = keyed.join(chosen_urls(packages, links), KEY, "left")
     names = F.concat(F.array("projectname_seed"), F.coalesce("other_names", F.array().cast("array<string>")))
     zipped = F.arrays_zip(names.alias("package"), F.coalesce("versions", F.array().cast("array<string>")).alias("version"))
     return joined.withColumn("z", F.explode(zipped)).select(
