@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,27 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Arrow functions find it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_pkgloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="pkgloom-")) / "pkgloom.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(home.rglob("*.py")):
+            archive.write(path, Path(home.name) / path.relative_to(home))
+    context.addPyFile(str(target))
+    context._pkgloom_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder. Every query reads its tables here, and so has the package on its executors."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
