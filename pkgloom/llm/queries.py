@@ -178,14 +178,22 @@ def product_matches(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("form", "aside", "product_id")
         .agg(F.max("similarity").alias("weight"))
     )
-    offers = cut(offers.join(offers.groupBy("form").agg(F.countDistinct("aside").alias("choices")), "form"))
+    # a product of words that many publishers use says nothing by itself
+    worded = forms.where("entity <> ''").select("entity", F.explode(F.split("product", " ")).alias("word"))
+    used = worded.groupBy("word").agg(F.countDistinct("entity").alias("owners"))
+    rarest = (
+        forms.where("entity = ''").select("form", F.explode(F.split("product", " ")).alias("word")).join(used, "word", "left")
+        .groupBy("form").agg(F.min(F.coalesce("owners", F.lit(0))).alias("owners"))
+    )
+    offers = offers.join(offers.groupBy("form").agg(F.countDistinct("aside").alias("choices")), "form").join(rarest, "form")
+    offers = cut(offers.withColumn("telling", (F.col("choices") == 1) & (F.col("owners") <= linkage.RARE_OWNERS)))
     backed = asides.distinct().withColumn("backed", F.lit(1))
     guessed = (
         s_rows.where("entity = ''").select("software_id", "form", "said", "text").distinct()
         .join(offers, "form")
         .join(backed, ["software_id", "aside"], "left")
         .withColumn("own", F.exists(F.split("aside", " "), lambda w: (F.length(w) > 3) & F.contains(F.lower(F.col("said")), w)))
-        .where("own or text = said and (choices = 1 or backed is not null)")
+        .where("own or text = said and (telling or backed is not null)")
         .groupBy("software_id", "product_id")
         .agg(F.max(F.coalesce("backed", F.lit(0)) + F.col("own").cast("int")).alias("support"), F.max("weight").alias("weight"))
         .withColumn("most", F.expr("max(support) over (partition by software_id)"))

@@ -28,8 +28,7 @@ RARE = 2000
 COMMON, END_SHARE = 20, 0.01
 #: Lengths where the texts of a source pile up: so many times what their neighbours let expect, and at least so many.
 PILE_TIMES, PILE_LEAST = 6.0, 5
-#: A last line is a footer when at least so many texts, and this share of its source's texts, end in it; there are at
-#: most 1/FOOTER_SHARE footers a source, so they are broadcast.
+#: A last line is a footer when at least so many texts, and this share of its source's texts, end in it.
 FOOTER_LEAST, FOOTER_SHARE = 4, 0.002
 #: Neighbourhood of a length, in characters, from which the expected number is taken.
 PILE_SPAN = 64
@@ -121,7 +120,7 @@ def trie(words: DataFrame) -> DataFrame:
 
 
 def piled_lengths(shapes: DataFrame) -> DataFrame:
-    """(source, n): lengths that a source's distinct texts pile up at."""
+    """(source, n, c): lengths that a source's distinct texts pile up at, with the number of these texts."""
     counts = shapes.select("source", "n", "tail").distinct().groupBy("source", "n").agg(F.count(F.lit(1)).alias("c"))
     near = counts.select(
         "source", F.explode(F.sequence(F.expr(f"n div {PILE_SPAN} - 1"), F.expr(f"n div {PILE_SPAN} + 1"))).alias("slot"), "c"
@@ -129,34 +128,29 @@ def piled_lengths(shapes: DataFrame) -> DataFrame:
     joined = counts.withColumn("slot", F.expr(f"n div {PILE_SPAN}")).join(near, ["source", "slot"])
     expected = (F.col("around") - F.col("c")) / (3 * PILE_SPAN - 1)
     return joined.where((F.col("c") >= PILE_LEAST) & (F.col("c") > PILE_TIMES * expected + 3 * F.sqrt(expected) + 1)).select(
-        "source", "n", F.lit(True).alias("piled")
+        "source", "n", "c", F.lit(True).alias("piled")
     )
 
 
 def footers(shapes: DataFrame) -> DataFrame:
-    """(source, last_line): lines that many texts of a source end in."""
+    """(source, last_line, c): lines that many texts of a source end in, with their number."""
     lines = shapes.where("last_line <> ''").groupBy("source", "last_line").agg(F.count(F.lit(1)).alias("c"))
+    lines = lines.where(F.col("c") >= FOOTER_LEAST)
     sizes = shapes.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    often = (F.col("c") >= FOOTER_LEAST) & (F.col("c") >= FOOTER_SHARE * F.col("size"))
-    return lines.join(F.broadcast(sizes), "source").where(often).select("source", "last_line", F.lit(True).alias("footer"))
+    often = F.col("c") >= FOOTER_SHARE * F.col("size")
+    return lines.join(sizes, "source").where(often).select("source", "last_line", "c", F.lit(True).alias("footer"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cut) of every document."""
     shapes = cut(features(docs))
     asked = shapes.where("word <> ''").select(F.col("word").alias("prefix")).distinct()
-    known = cut(trie(vocabulary(docs)).join(asked, "prefix", "left_semi").withColumnRenamed("prefix", "word"))
+    known = trie(vocabulary(docs)).join(asked, "prefix", "left_semi").withColumnRenamed("prefix", "word")
     counted = shapes.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("finals"))
-    known = known.join(counted, "word")
-    rated = join_skewed(
-        shapes.select("doc_id", "word").where("word <> ''"), known.select("word", "texts", "ends", "longer", "finals"), ["word"], "finals", "left"
-    ).drop("finals", "word")
-    piles = F.broadcast(piled_lengths(shapes))
-    joined = (
-        shapes.join(rated, "doc_id", "left")
-        .join(piles, ["source", "n"], "left")
-        .join(F.broadcast(footers(shapes)), ["source", "last_line"], "left")
-    )
+    known = cut(known.join(counted, "word").select("word", "texts", "ends", "longer", "finals"))
+    joined = join_skewed(shapes, known, ["word"], "finals", "left")
+    joined = join_skewed(joined, cut(piled_lengths(shapes)), ["source", "n"], "c", "left").drop("c")
+    joined = join_skewed(joined, cut(footers(shapes)), ["source", "last_line"], "c", "left")
     texts, ends, longer = (F.coalesce(c, F.lit(0)) for c in ("texts", "ends", "longer"))
     worded = F.col("word") != ""
     inside = worded & (longer > 0) & (texts * RARE < longer)

@@ -52,3 +52,5 @@ def test_edges(spark):
     rates = {r.source: (r.texts, r.cut_texts, r.rate) for r in T.cut_rates(df).collect()}
     assert rates == {"s": (5, 1, 0.2), "": (2, 0, 0.0)}
     assert T.cut_texts(df.where("false")).count() == 0
+    twice = [(7, "s", "The printer restarts. Then the prin"), (7, "s", "The printer restarts. Then the prin"), (None, "s", "The printer restarts the pri")] + [(8, "s", "The printer restarts.")] * 3
+    assert sorted(str(r.doc_id) for r in T.cut_texts(spark.createDataFrame(twice, "doc_id bigint, source string, text string")).collect()) == ["7", "7", "None"]
