@@ -123,6 +123,7 @@ def title(text: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
+# How library packages of three languages are named, and the parts of the Python distribution.
 PYTHON = r"(?i)python([23]\d{0,2})[\s-]+([^\s-]\S*)"
 RUBY = r"(?i)ruby(?:gem)?[\s-]+([^\s-]\S*)"
 PERL = r"(?i)perl-\s*([^\s-].+)$|^lib([^\s-].+)-\s*perl$"

@@ -68,6 +68,7 @@ def without_suffix(uncut: Column, suffix: Column) -> Column:
     return F.when(suffix.isNull(), uncut).otherwise(F.substring(uncut, F.lit(1), F.instr(uncut, suffix) - 1))
 
 
+# Fixed value: a date at the place of a version.
 DATE = r"((?:19|20)\d{2})\.?(\d{1,2})\.?(\d{1,2})?"
 
 

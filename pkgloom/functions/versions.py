@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from pkgloom.functions import dates
 
+# Endings of unfinished releases.
 SUFFIX = r"(?:rc|α(?:lpha)?|β(?:eta)?|alpha|beta)"
 SUFFIX_WORD = rf"\b\d*{SUFFIX}(?:_?\d+)?\b"
 
