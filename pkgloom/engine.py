@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,13 +35,21 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+@functools.cache
+def own_folder(purpose: str) -> str:
+    """A temporary folder of this process, removed at its end."""
+    path = tempfile.mkdtemp(prefix=f"pkgloom-{purpose}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that Arrow functions find it wherever they run."""
     context = spark.sparkContext
     if getattr(context, "_pkgloom_shipped", False):
         return
     home = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="pkgloom-")) / "pkgloom.zip"
+    target = Path(own_folder("package")) / "pkgloom.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for path in sorted(home.rglob("*.py")):
             archive.write(path, Path(home.name) / path.relative_to(home))
@@ -60,7 +70,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "pkgloom-checkpoints"))
+        context.setCheckpointDir(shared or own_folder("checkpoints"))
     return df.checkpoint()
 
 
