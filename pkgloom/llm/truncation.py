@@ -28,7 +28,7 @@ RARE = 2000
 COMMON, END_SHARE = 20, 0.01
 #: Lengths where the texts of a source pile up: so many times what their neighbours let expect, and at least so many.
 PILE_TIMES, PILE_LEAST = 6.0, 5
-#: A last line is a footer when at least so many texts, and this share of its source's texts, end in it.
+#: A last line is a footer when at least so many distinct texts, and this share of its source's distinct texts, end in it.
 FOOTER_LEAST, FOOTER_SHARE = 4, 0.002
 #: Neighbourhood of a length, in characters, from which the expected number is taken.
 PILE_SPAN = 64
@@ -60,6 +60,7 @@ def features(docs: DataFrame) -> DataFrame:
             "doc_id",
             F.coalesce("source", F.lit("")).alias("source"),
             F.length("text").alias("n"),
+            F.xxhash64("text").alias("spelled"),
             tail.alias("tail"),
             (marked != "").alias("marked"),
             (dotted != "").alias("dotted"),
@@ -133,12 +134,13 @@ def piled_lengths(shapes: DataFrame) -> DataFrame:
 
 
 def footers(shapes: DataFrame) -> DataFrame:
-    """(source, last_line, c): lines that many texts of a source end in, with their number."""
-    lines = shapes.where("last_line <> ''").groupBy("source", "last_line").agg(F.count(F.lit(1)).alias("c"))
-    lines = lines.where(F.col("c") >= FOOTER_LEAST)
-    sizes = shapes.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
-    often = F.col("c") >= FOOTER_SHARE * F.col("size")
-    return lines.join(sizes, "source").where(often).select("source", "last_line", "c", F.lit(True).alias("footer"))
+    """(source, last_line, c): lines that many distinct texts of a source end in, with the number of rows that end so.
+    Copies of one text count once, so a torn line is no footer because its text is copied."""
+    texts = shapes.groupBy("source", "n", "spelled", "last_line").agg(F.count(F.lit(1)).alias("c"))
+    lines = cut(texts.groupBy("source", "last_line").agg(F.count(F.lit(1)).alias("texts"), F.sum("c").alias("c")))
+    sizes = lines.groupBy("source").agg(F.sum("texts").alias("size"))
+    often = (F.col("texts") >= FOOTER_LEAST) & (F.col("texts") >= FOOTER_SHARE * F.col("size"))
+    return lines.where("last_line <> ''").join(sizes, "source").where(often).select("source", "last_line", "c", F.lit(True).alias("footer"))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -54,3 +54,15 @@ def test_edges(spark):
     assert T.cut_texts(df.where("false")).count() == 0
     twice = [(7, "s", "The printer restarts. Then the prin"), (7, "s", "The printer restarts. Then the prin"), (None, "s", "The printer restarts the pri")] + [(8, "s", "The printer restarts.")] * 3
     assert sorted(str(r.doc_id) for r in T.cut_texts(spark.createDataFrame(twice, "doc_id bigint, source string, text string")).collect()) == ["7", "7", "None"]
+
+
+def test_copies_make_no_footer(spark):
+    rnd = random.Random(6)
+    rows = [(k, "s", text(rnd, 6)) for k in range(120)]
+    rows += [(200 + k, "s", text(rnd, 5) + "\n\nReplies: keyr") for k in range(6)]
+    torn = text(rnd, 5) + "\nThe printer restarts every form"
+    rows += [(300 + k, "s", torn) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert {(r.last_line, r.c) for r in T.footers(T.features(df)).collect()} == {("Replies: keyr", 6)}
+    assert {r.doc_id for r in T.cut_texts(df).collect()} == set(range(300, 360))
+    assert [(r.texts, r.cut_texts) for r in T.cut_rates(df).collect()] == [(186, 60)]
