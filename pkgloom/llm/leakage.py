@@ -8,7 +8,7 @@ backwards at once, located through the samples, and chained along equal offsets
 between phrases; runs of eight words or more are merged into removal spans per text and item.
 
 Notices are phrases that three or more items share, or that stand in at least NOTICE_SHARE of all texts; they count
-for nothing. Statistics run over all texts.
+for nothing. Statistics run over all texts and all items, each distinct one (by its words) counted once.
 
 Defined results: null and empty texts and items match nothing; items shorter than eight words cannot leak; equal texts
 and equal items are each reported.
@@ -17,8 +17,8 @@ and equal items are each reported.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut
+from pkgloom.engine import cut, join_skewed
 
 GRAM = 4
 RUN = 8
 #: The part of an item's words that must stand in runs.
 LEAST_SHARE = 1 / 3
-#: A phrase in this share of all texts, and in at least NOTICE_LEAST of them, is a notice; so is one of three items.
+#: A phrase in this share of all distinct texts, and in at least NOTICE_LEAST of them, is a notice; so is one of three
+#: distinct items.
 NOTICE_SHARE, NOTICE_LEAST, NOTICE_ITEMS = 0.02, 15, 3
 #: Items go to the workers in blocks of so many, each block against all texts.
 BLOCK = 20_000
@@ -52,6 +53,11 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text)
 
 
+def digest(words: list[str]) -> int:
+    """The same number for the same words, on every machine."""
+    return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class FMIndex:
     """Full-text index of a sequence of numbers below ``size``; 0 separates stretches and is never searched."""
 
@@ -141,25 +147,20 @@ def _hash(ids: np.ndarray) -> np.ndarray:
 
 
 class ItemSet:
-    """The evaluation items as word numbers, their distinct four-word phrases and where these stand."""
+    """The evaluation items (id, text, places of shared phrases) as word numbers, their distinct four-word phrases and where these stand."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        texts = [words_of(t or "") for _, t in items]
+    def __init__(self, items: list[tuple[int, str, list[int]]]) -> None:
+        self.ids = [i for i, _, _ in items]
+        texts = [words_of(t or "") for _, t, _ in items]
         vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.size = len(vocabulary) + 1
         self.vocabulary = vocabulary
         self.numbers = [np.array([vocabulary[w] for w in t], dtype=np.int64) for t in texts]
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        owners: dict[tuple, set[int]] = defaultdict(set)
-        for k, t in enumerate(texts):
-            for p in range(len(t) - RUN + 1):
-                owners[tuple(t[p : p + RUN])].add(k)
         self.shared = [np.zeros(len(t), dtype=bool) for t in texts]
-        for k, t in enumerate(texts):
-            for p in range(len(t) - RUN + 1):
-                if len(owners[tuple(t[p : p + RUN])]) >= NOTICE_ITEMS:
-                    self.shared[k][p : p + RUN] = True
+        for k, (_, _, starts) in enumerate(items):
+            for p in starts or []:
+                self.shared[k][p : p + RUN] = True
         rows, where = [], []
         for k, ids in enumerate(self.numbers):
             for p in range(len(ids) - GRAM + 1):
@@ -237,9 +238,32 @@ def _runs(ids: np.ndarray, items: ItemSet) -> np.ndarray:
     return np.stack([first + shift[begin], item[begin], first, end], axis=1)
 
 
-def find_runs(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """(doc_id, item, starts, ends, places): per text and item number the item's word ranges found and the word of the
-    text where each begins."""
+def _phrases(text: pd.Series) -> pd.DataFrame:
+    """Digests of all words of an item, and of each eight words in a row."""
+    out = []
+    for t in text:
+        w = words_of(t or "")
+        out.append((digest(w), [digest(w[p : p + RUN]) for p in range(len(w) - RUN + 1)]))
+    return pd.DataFrame(out, columns=["spelled", "phrases"])
+
+
+def shared_phrases(items: DataFrame) -> DataFrame:
+    """(item_id, text, shared): every item with the places of its phrases that three or more distinct items hold."""
+    phrases = F.pandas_udf(_phrases, "struct<spelled bigint, phrases array<bigint>>")
+    keyed = cut(items.select("item_id", "text", phrases("text").alias("k")).select("item_id", "text", "k.*"))
+    one = keyed.dropDuplicates(["spelled"]).select("spelled", F.posexplode("phrases").alias("p", "phrase"))
+    owners = one.groupBy("phrase", "spelled").agg(F.count(F.lit(1)).alias("n")).groupBy("phrase").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n"))
+    noted = cut(owners.where(F.col("owners") >= NOTICE_ITEMS).select("phrase", "n"))
+    places = join_skewed(one, noted, ["phrase"], "n").groupBy("spelled").agg(F.collect_list("p").alias("shared"))
+    return cut(keyed.drop("phrases").join(places, "spelled", "left").select("item_id", "text", "shared"))
+
+
+def find_runs(docs: DataFrame, items: list[tuple[int, str, list[int]]]) -> DataFrame:
+    """(doc_id, spelled, item, starts, ends, places): per text and item number the item's word ranges found and the word of
+    the text where each begins; spelled is the digest of the text's words. The digest of every text also comes once
+    per batch in a row without item."""
+
+    names = ["doc_id", "spelled", "item", "starts", "ends", "places"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ItemSet(items)
@@ -255,13 +279,21 @@ def find_runs(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                     held, size = [], 0
             if held:
                 parts.append("\x00".join([*held, ""]))
-            numbers = []
+            numbers, spelled = [], []
             for text in parts:
                 text = text.lower()
                 if "<" in text or "&" in text:
                     text = MARKUP.sub(" ", text)
                 words = WORDS.findall(text)
                 numbers.append(np.fromiter((lookup.get(w, 0) for w in words), dtype=np.int64, count=len(words)))
+                start = 0
+                for end in np.flatnonzero(numbers[-1] == -1):
+                    spelled.append(digest(words[start:end]))
+                    start = end + 1
+            every = list(set(spelled))
+            if every:
+                none, lists = pa.nulls(len(every), pa.int64()), pa.nulls(len(every), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([none, pa.array(every, type=pa.int64()), none, lists, lists, lists], names=names)
             ids = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
             found = _runs(ids, known)
             if not len(found):
@@ -275,22 +307,21 @@ def find_runs(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             grouped = frame.groupby(["doc", "item"], sort=True).agg(list).reset_index()
             lists = [pa.array(grouped[c].tolist(), type=pa.list_(pa.int64())) for c in ("starts", "ends", "places")]
             named = batch.column("doc_id").take(pa.array(grouped["doc"].to_numpy()))
-            yield pa.RecordBatch.from_arrays(
-                [named, pa.array(grouped["item"].to_numpy(), type=pa.int64()), *lists], names=["doc_id", "item", "starts", "ends", "places"]
-            )
+            own = pa.array([spelled[d] for d in grouped["doc"]], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([named, own, pa.array(grouped["item"].to_numpy(), type=pa.int64()), *lists], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id bigint, item bigint, starts array<bigint>, ends array<bigint>, places array<bigint>"
+        work, "doc_id bigint, spelled bigint, item bigint, starts array<bigint>, ends array<bigint>, places array<bigint>"
     )
 
 
 def _notices(runs: DataFrame, texts: int, known: ItemSet) -> dict[int, np.ndarray]:
-    """Per item number a mask of the words that are notices. The counts per item and range are at most as many as the
-    items have ranges, and reach the driver summed."""
+    """Per item number a mask of the words that are notices; ``texts`` is the number of distinct texts. A distinct text
+    counts once for each word. Only the words that are notices reach the driver."""
     need = max(NOTICE_LEAST, NOTICE_SHARE * texts)
-    spans = runs.select("item", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select("item", "r.starts", "r.ends")
-    spans = spans.groupBy("item", "starts", "ends").agg(F.count(F.lit(1)).alias("n"))
-    words = spans.select("item", F.explode(F.sequence("starts", F.expr("ends - 1"))).alias("word"), "n")
+    one = runs.dropDuplicates(["item", "spelled"]).groupBy("item", "starts", "ends").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.array_distinct(F.flatten(F.zip_with("starts", "ends", lambda a, z: F.sequence(a, z - 1))))
+    words = one.select("item", F.explode(spread).alias("word"), "n")
     often = words.groupBy("item", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("item", "word").collect()
     masks = {k: m.copy() for k, m in enumerate(known.shared)}
     for row in often:
@@ -301,18 +332,21 @@ def _notices(runs: DataFrame, texts: int, known: ItemSet) -> dict[int, np.ndarra
 def leaks(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, item_id, share) of every leak, (doc_id, first_word, last_word) of the merged removal spans)."""
     spark = docs.sparkSession
-    texts = docs.count()
+    texts = None
+    items = shared_phrases(items)
     total = items.count()
     blocks = max(1, -(-total // BLOCK))
     found = spans = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        listed = [(r.item_id, r.text) for r in part.select("item_id", "text").orderBy("item_id").collect()]
+        listed = [(r.item_id, r.text, r.shared) for r in part.orderBy("item_id").collect()]
         known = ItemSet(listed)
         if not len(known.patterns):
             continue
-        runs = cut(find_runs(docs, listed))
-        masks = _notices(runs, texts, known)
+        rows = cut(find_runs(docs, listed))
+        texts = rows.select("spelled").distinct().count() if texts is None else texts
+        runs = rows.where("item is not null").drop("spelled")
+        masks = _notices(rows.where("item is not null"), texts, known)
         ids, lengths = [None if i is None else str(i) for i in known.ids], known.lengths
 
         def share(batches: Iterator[pd.DataFrame], masks=masks, ids=ids, lengths=lengths) -> Iterator[pd.DataFrame]:

@@ -91,3 +91,22 @@ def test_very_long_text(spark):
     text = " ".join(rnd.choice("abcdef") for _ in range(300_000)) + " " + item
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert L.leaks(df, spark.createDataFrame([(1, item)], "item_id bigint, text string"))[0].count() == 1
+
+
+def test_copies_make_no_notice(spark, monkeypatch):
+    own = [" ".join(f"x{i}y{k}" for k in range(24)) for i in range(3)]
+    items = [(0, own[0]), (1, own[1]), (2, own[1].upper()), (3, own[1]), (4, own[2])]
+    docs = [(d, f"filler {d} of no item at all") for d in range(30)]
+    docs += [(100 + d, f"copied {own[0]} end") for d in range(20)] + [(150, f"alone {own[0]} end")]
+    docs += [(200, own[1]), (300, " / ".join([own[2]] * 20))]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(100 + d, 0) for d in range(20)} | {(150, 0), (200, 1), (200, 2), (200, 3), (300, 4)}
+    found, spans = L.leaks(df, it)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+    assert {r.doc_id for r in spans.collect()} == {d for d, _ in want}
+    # a phrase of three distinct items is a notice wherever the blocks part them
+    phrase = " ".join(f"common{k}" for k in range(10))
+    three = spark.createDataFrame([(i, f"{phrase} {o}") for i, o in enumerate(own)], "item_id bigint, text string")
+    text = spark.createDataFrame([(1, f"{phrase} {' '.join(own[0].split()[:9])}")], "doc_id bigint, text string")
+    monkeypatch.setattr(L, "BLOCK", 1)
+    assert L.leaks(text, three)[0].count() == 0
