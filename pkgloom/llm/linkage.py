@@ -2,7 +2,8 @@
 
 Both sources are reduced to distinct forms (publisher entity, product words). The forms of both are sorted by several
 composite keys; in each order a window slides over them and compares every two forms in it by weighted similarities
-of publisher and product. Similar forms of one source become one product (star clustering); between the products
+of publisher and product. Beside the windows, forms whose letters are the same but for one edit are joined exactly, however
+many forms lie between them. Similar forms of one source become one product (star clustering); between the products
 of the two sources a one-to-one assignment with the greatest total confidence is kept, and expanded to the records.
 
 Defined results: a record without a product name matches nothing; one without any publisher is matched only where its
@@ -155,15 +156,52 @@ def any_publisher(a: dict, b: dict) -> float:
 
 
 def sort_keys(forms: DataFrame) -> DataFrame:
-    """The composite sort keys: words in alphabetical order, letters joined, longest word first."""
+    """The composite sort keys: words in alphabetical order, letters joined, longest word first and from its end."""
     words = F.split("product", " ")
     return (
         forms.withColumn("by_words", F.array_join(F.array_sort(words), " "))
         .withColumn("by_letters", F.array_join(F.array_sort(F.split(F.regexp_replace("product", " ", ""), "")), ""))
-        .withColumn("by_longest", F.array_join(F.reverse(F.array_sort(F.transform(words, lambda w: F.concat(F.lpad(F.length(w).cast("string"), 3, "0"), F.reverse(w))))), " "))
+        .withColumn("by_longest", F.array_join(F.transform(F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), F.reverse(w).alias("w"))))), lambda x: x["w"]), " "))
     )
 
 
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Similarities of candidate pairs of one publisher, or the first without any, from what their forms hold."""
+    for batch in batches:
+        out = []
+        for a, b in batch.itertuples(index=False):
+            (owner, x), (other, y) = a[1:].split("\u0001"), b[1:].split("\u0001")
+            s = product_similarity(x, y) if owner in ("", other) else 0.0
+            if s >= PRODUCT_LEAST:
+                out.append((a, b, s))
+        yield pd.DataFrame(out, columns=["form_a", "form_b", "similarity"])
+
+
+def edit_pairs(forms: DataFrame, loose: bool) -> DataFrame:
+    """(form_a, form_b, similarity >= PRODUCT_LEAST) of all forms of one publisher, or with ``loose`` of all forms without
+    one and those with one, whose joined letters are the same in some order but for at most one letter on either side.
+
+    Each form stands under the sum of its letters' hashes and under the sums without one letter; a pair has
+    exactly one of them in common, or is taken where nothing is left out."""
+    letters = F.filter(F.split(F.regexp_replace("product", " ", ""), ""), lambda x: x != "")
+    weights = F.transform(letters, lambda x: F.shiftright(F.xxhash64(x), 20))  # sums stay within 64 bits
+    total = F.aggregate(weights, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    summed = forms.select("form", "entity", weights.alias("weights"), total.alias("total"))
+    keys = F.concat(F.array("total"), F.transform(F.array_distinct("weights"), lambda x: F.col("total") - x))
+    rows = summed.select("form", "entity", "total", F.explode(keys).alias("key"))
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        own = F.lit("") if loose else F.col("entity")
+        return df.select(F.xxhash64(own, "key").alias("at"), F.col("form").alias(f"form_{end}"), F.col("total").alias(f"total_{end}"), (F.col("key") == F.col("total")).alias(f"whole_{end}"))
+
+    left, right = (side(rows.where("entity = ''" if loose else "entity <> ''"), "a"), side(rows.where("entity <> ''"), "b"))
+    once = (F.col("total_a") != F.col("total_b")) | (F.col("whole_a") & F.col("whole_b"))
+    if not loose:
+        once &= F.col("form_a") < F.col("form_b")
+    met = left.join(right, "at").where(once).select("form_a", "form_b")
+    return met.mapInPandas(_verified, "form_a string, form_b string, similarity double")
+
+
 def _assign(group: pd.DataFrame) -> pd.DataFrame:
     """One component of edges (left, right, weight): the one-to-one subset of greatest total weight."""
     edges = sorted(zip(-group["weight"], group["left"], group["right"], strict=True))
@@ -254,17 +292,17 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def match_products(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``forms`` (form, entity, product, n), distinct, form starting with its side's letter c or s.
+    """``forms`` (form, entity, product, n), distinct, form being its side's letter c or s, the entity, \\u0001, the product.
 
     Returns (form, product_id, weight): forms of both sides with equal product_id and a positive weight are one
     product; and (form_a, form_b, similarity) between forms without publisher and the others."""
     keyed = cut(sort_keys(forms.select("form", "entity", "product", "n")))
     owned = keyed.where("entity <> ''")
     sizes = {r.owned: r["count"] for r in keyed.groupBy((F.col("entity") != "").alias("owned")).count().collect()}
-    pairs = None
+    pairs = edit_pairs(keyed, loose=False)
     for key in ("by_words", "by_letters", "by_longest"):
         found = sliding_pairs(owned.select("form", "entity", "product", key), ["entity", key], same_publisher, total=sizes.get(True, 0))
-        pairs = found if pairs is None else pairs.unionByName(found)
+        pairs = pairs.unionByName(found)
     pairs = cut(pairs.groupBy("form_a", "form_b").agg(F.max("similarity").alias("weight")))
     part = components(pairs)
     lines = pairs.join(part.withColumnRenamed("form", "form_a"), "form_a").select(
@@ -277,8 +315,8 @@ def match_products(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     resolved = lines.groupBy("part").applyInPandas(_resolve, "form string, product_id string, weight double")
     single = counted.where("part is null").select(F.col("form_a").alias("form"), F.col("form_a").alias("product_id"), F.lit(0.0).alias("weight"))
     products = cut(resolved.unionByName(single))
-    loose = None
+    loose = edit_pairs(keyed, loose=True)
     for key in ("by_words", "by_letters", "by_longest"):
         found = sliding_pairs(keyed.select("form", "entity", "product", key), [key, "entity"], any_publisher, total=sum(sizes.values()))
-        loose = found if loose is None else loose.unionByName(found)
+        loose = loose.unionByName(found)
     return products, cut(loose.groupBy("form_a", "form_b").agg(F.max("similarity").alias("similarity")))

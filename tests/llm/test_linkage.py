@@ -1,5 +1,6 @@
 """Products across sources: similarity, windows against all pairs, assignment, edge cases."""
 
+import random
 from itertools import permutations
 
 import pandas as pd
@@ -82,3 +83,25 @@ def test_components(spark):
     got = {r.form: r.part for r in L.components(spark.createDataFrame(chain, "form_a string, form_b string")).collect()}
     assert got == {f"c{k:03d}": "c000" for k in range(41)} | {"s1": "s1", "s2": "s1", "x": "x", "y": "x", "z": "x"}
     assert L.components(spark.createDataFrame([], "form_a string, form_b string")).count() == 0
+
+
+def one_edit(rnd, w):
+    k = rnd.randrange(len(w) - 1)
+    x = rnd.choice("abcdefghijklmnop")
+    return rnd.choice([w[:k] + x + w[k:], w[:k] + w[k + 1 :], w[:k] + x + w[k + 1 :], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+
+
+def test_nothing_is_out_of_reach(spark):
+    rnd = random.Random(8)
+    row = lambda side, e, p: (f"{side}{e}\u0001{p}", e, p, 1)
+    pairs = []
+    for _ in range(800):
+        w = "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(7, 12)))
+        pairs.append((row("c", "big", f"{w} server"), row("s", "big", f"{one_edit(rnd, w)} server")))
+    named = [row("c", f"p{k:02d}", "print filter") for k in range(70)]
+    alone = row("s", "", "filter print")
+    rows = {r for pair in pairs for r in pair} | {*named, alone}
+    products, loose = L.match_products(spark.createDataFrame(sorted(rows), "form string, entity string, product string, n bigint"))
+    assert {(r.form_a, r.form_b) for r in loose.collect() if alone[0] in (r.form_a, r.form_b)} >= {(alone[0], n[0]) for n in named}
+    got = {r.form: r.product_id for r in products.where("weight > 0").collect()}
+    assert [(a[2], b[2]) for a, b in pairs if got.get(a[0], 0) != got.get(b[0], 1)] == []
