@@ -16,7 +16,7 @@ from pkgloom.functions.versions import exact_pattern
 
 #: Texts from which a description or license is made are cut to so many characters.
 HEAD = 4_096
-#: At most so many lines of a long description are told.
+#: At most so many lines of a long PyPI description are told.
 LINES = 25
 FIELDS = [
     "software", "software_alternative", "publisher", "publisher_alternative", "homepage", "description", "licenses",
@@ -123,26 +123,52 @@ def pagure(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def metacpan(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Payload: package, url, version, release, author, module (JSON bodies)."""
+    """Payload: package, url, version, release, author, module (JSON bodies; module is one body or a list of them in order).
+
+    A distribution is obsolete when a module of it now belongs to another one. Every described module is told, once."""
     name = first(text("release", "$.distribution"), F.col("package"))
-    modules = strings("release", "$.provides")
+    alone = text("release", "$.provides")
+    modules = F.when(alone != "", F.array(alone)).otherwise(strings("release", "$.provides"))
+    listing = F.when(F.trim("module").startswith("["), F.col("module")).otherwise(F.concat(F.lit("["), "module", F.lit("]")))
+    bodies = F.filter(F.coalesce(F.from_json(listing, "array<string>"), empty()), lambda x: x.isNotNull())
+    asked = F.regexp_replace("package", "-", "::")
+    called = lambda x: first(text(x, "$.documentation"), text(x, "$.module[0].name"), asked)
+    perl = F.lower(name) == "perl"
+    moved = F.get(F.filter(bodies, lambda x: (text(x, "$.distribution") != "") & (text(x, "$.distribution") != name)), F.lit(0))
+    told_modules = F.aggregate(
+        bodies, F.lit(""),
+        lambda merged, x: F.when(F.trim(text(x, "$.description")) == "", merged).otherwise(F.concat(
+            merged, F.when(merged != "", F.lit("\n")).otherwise(F.lit("")), F.lit("The following is a description of "), called(x),
+            F.when(called(x) == text("release", "$.main_module"), F.lit(", the main module of")).otherwise(F.lit(", one of the modules within")),
+            F.lit(" the distribution: "), F.trim(text(x, "$.description")),
+        )),
+    )
+    opening = F.when(perl, F.coalesce(F.trim(text(F.get(bodies, F.lit(0)), "$.description")), F.lit(""))).otherwise(F.concat(name, F.lit(" is a distribution of Perl modules.")))
+    provided = (
+        F.when(F.size(modules) > 0, F.concat(F.lit("The modules included are: "), F.array_join(modules, ", "), F.lit(".")))
+        .when(~perl, F.concat(F.lit("One of the included modules is "), F.coalesce(F.when(F.size(bodies) > 0, called(F.get(bodies, F.lit(0)))), asked), F.lit(".")))
+    )
+    abstract = text("release", "$.abstract")
+    present = F.concat_ws(
+        "\n", F.nullif(opening, F.lit("")), provided, F.when(~perl, F.nullif(told_modules, F.lit(""))),
+        F.when(~abstract.isin("", "unknown"), abstract),
+    )
+    about = F.trim(text(moved, "$.description"))
+    obsolete = F.concat(
+        opening, F.lit(" It provided the "), called(moved), F.lit(" module. At the present time, the mentioned module is a part of "),
+        text(moved, "$.distribution"), F.lit(" distribution."),
+        F.when(about != "", F.concat(F.lit(" The following is a description of the "), called(moved), F.lit(" module: "), about)).otherwise(F.lit("")),
+    )
     author = first(text("author", "$.name"), text("release", "$.author"), F.lit("CPAN"))
     listed = strings("release", "$.license")
     licenses = F.when(F.size(listed) == 0, F.array(F.lit("perl_5"))).otherwise(listed)
-    sentence = F.concat_ws(
-        " ",
-        F.concat(F.lit("Perl distribution "), name, F.lit(".")),
-        F.when(F.size(modules) > 0, F.concat(F.lit("Provides "), F.array_join(F.slice(modules, 1, LINES), ", "), F.lit("."))),
-        F.nullif(text("module", "$.abstract"), F.lit("")),
-        F.nullif(text("release", "$.abstract"), F.lit("")),
-    )
     return record(
         df, keys,
         software=name,
         software_alternative=F.concat(F.array(F.concat(F.lit("perl-"), name), F.concat(F.lit("lib"), F.lower(name), F.lit("-perl"))), modules),
         publisher=F.when(F.lower(name) == "perl", F.lit("Perl")).otherwise(author), publisher_alternative=F.array(text("release", "$.author")),
         homepage=first(text("release", "$.resources.homepage.web"), text("release", "$.resources.homepage"), F.concat(F.lit("https://metacpan.org/dist/"), name)),
-        description=sentence,
+        description=F.when(moved.isNotNull() & ~perl, obsolete).otherwise(present),
         licenses=F.flatten(F.transform(licenses, lambda x: F.when(x == "perl_5", F.array(F.lit("Artistic-1.0-Perl"), F.lit("GPL-1.0-or-later"))).otherwise(F.array(x)))),
         release_version=first(text("release", "$.version"), F.coalesce("version", F.lit(""))), release_date=F.substring(text("release", "$.date"), 1, 10),
     )

@@ -133,6 +133,27 @@ def test_project_records(spark):
     assert (r.software, r.publisher, r.description) == ("Mailcap", "Red Hat", "Mime")
 
 
+def test_metacpan_tells_every_module(spark):
+    names = [f"Foo::M{k}" for k in range(30)]
+    release = json.dumps({"distribution": "Foo", "main_module": "Foo::M0", "provides": names, "abstract": "All of Foo"})
+    body = lambda n, d, of="Foo": {"documentation": n, "description": d, "distribution": of}
+    several = json.dumps([body(n, "" if k == 1 else f"About {k}.") for k, n in enumerate(names)])
+    bare = json.dumps({"distribution": "Foo", "abstract": "unknown"})
+    rows = [
+        ("a", release, several), ("b", release, json.dumps(body("Foo::M0", "About 0."))), ("Foo-Bar", bare, None),
+        ("d", release, json.dumps(body("Foo::M3", "About 3.", "Foo-New"))), ("perl", json.dumps({"distribution": "perl"}), json.dumps({"description": "The language"})),
+    ]
+    df = spark.createDataFrame([(p, "u", None, r, None, m) for p, r, m in rows], "package string, url string, version string, release string, author string, module string")
+    got = {r.package: r.description for r in R.metacpan(df, ["package"]).collect()}
+    head = f"Foo is a distribution of Perl modules.\nThe modules included are: {', '.join(names)}."
+    tell = lambda k: f"The following is a description of Foo::M{k}, {'the main module of' if k == 0 else 'one of the modules within'} the distribution: About {k}."
+    assert got["a"] == "\n".join([head, *[tell(k) for k in range(30) if k != 1], "All of Foo"])
+    assert got["b"] == "\n".join([head, tell(0), "All of Foo"])
+    assert got["Foo-Bar"] == "Foo is a distribution of Perl modules.\nOne of the included modules is Foo::Bar."
+    assert got["d"] == "Foo is a distribution of Perl modules. It provided the Foo::M3 module. At the present time, the mentioned module is a part of Foo-New distribution. The following is a description of the Foo::M3 module: About 3."
+    assert got["perl"] == "The language"
+
+
 def test_package_records(spark):
     found = spark.createDataFrame([("libboost-1.2", "Debian", "1.2.3", "libboost-1.2", "", "https://tracker/x")], "software string, publisher string, version string, source string, homepage string, tracker_url string")
     r = P.debian(found, ["software"]).first()
