@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import permutations
 
 import pandas as pd
@@ -202,6 +203,48 @@ def edit_pairs(forms: DataFrame, loose: bool) -> DataFrame:
     return met.mapInPandas(_verified, "form_a string, form_b string, similarity double")
 
 
+def _augmented(edges: list[tuple[float, str, str]]) -> list[tuple[float, str, str]]:
+    """The one-to-one subset of least total of (-weight, left, right): every left takes in turn the shortest augmenting path
+    over the sparse edges, to a free right or to a place of its own that stands for no partner."""
+    top = max(-w for w, _, _ in edges)
+    cost: dict[str, dict[tuple, float]] = {}
+    for w, a, b in edges:
+        cost.setdefault(a, {(1, a): top})[0, b] = top + w
+    left: dict[str, float] = {}
+    right: dict[tuple, float] = {}
+    owner: dict[tuple, str] = {}
+    mate: dict[str, tuple] = {}
+    for a in sorted(cost):
+        left[a] = min(c - right.get(b, 0.0) for b, c in cost[a].items())
+        heap = [(c - left[a] - right.get(b, 0.0), b, a) for b, c in cost[a].items()]
+        heapify(heap)
+        done: dict[tuple, tuple[float, str]] = {}
+        while True:
+            far, b, via = heappop(heap)
+            if b in done:
+                continue
+            done[b] = far, via
+            if b not in owner:
+                break
+            u = owner[b]
+            for c, w in cost[u].items():
+                if c not in done:
+                    heappush(heap, (far + w - left[u] - right.get(c, 0.0), c, u))
+        left[a] += far
+        for c, (d, _) in done.items():
+            if c in owner:
+                right[c] = right.get(c, 0.0) - (far - d)
+                left[owner[c]] += far - d
+        while True:
+            via = done[b][1]
+            before = mate.get(via)
+            mate[via], owner[b] = b, via
+            if via == a:
+                break
+            b = before
+    return [(cost[a][b] - top, a, b[1]) for a, b in sorted(mate.items()) if b[0] == 0]
+
+
 def _assign(group: pd.DataFrame) -> pd.DataFrame:
     """One component of edges (left, right, weight): the one-to-one subset of greatest total weight."""
     edges = sorted(zip(-group["weight"], group["left"], group["right"], strict=True))
@@ -218,12 +261,8 @@ def _assign(group: pd.DataFrame) -> pd.DataFrame:
             total = sum(weight[q] for q in pairs)
             if total > best + 1e-12:
                 best, chosen = total, [(-weight[q], *q) for q in pairs]
-    else:  # rare long components: heaviest first
-        chosen, used = [], set()
-        for w, a, b in edges:
-            if ("l", a) not in used and ("r", b) not in used:
-                chosen.append((w, a, b))
-                used |= {("l", a), ("r", b)}
+    else:
+        chosen = _augmented(edges)
     return pd.DataFrame([(a, b, -w) for w, a, b in chosen], columns=["left", "right", "weight"])
 
 

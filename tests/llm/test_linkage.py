@@ -56,6 +56,24 @@ def test_assignment_is_best(edges):
     assert got["weight"].sum() == best
 
 
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7), st.integers(1, 9)), min_size=20, max_size=40, unique_by=lambda e: e[:2]))
+def test_large_assignment_is_best(edges):
+    got = L._assign(pd.DataFrame([(f"c{a}", f"s{b}", float(w)) for a, b, w in edges], columns=["left", "right", "weight"]))
+    assert got["left"].is_unique and got["right"].is_unique
+    best = {0: 0}
+    for a in range(8):
+        for used, total in list(best.items()):
+            for x, b, w in edges:
+                if x == a and not used >> b & 1:
+                    best[used | 1 << b] = max(best.get(used | 1 << b, 0), total + w)
+    assert abs(got["weight"].sum() - max(best.values())) < 1e-9
+
+
+def test_seventh_product_changes_nothing():
+    edges = [("a1", "b1", 0.97), ("a1", "b2", 0.9), ("a2", "b1", 0.9)] + [(f"a{k}", f"b{k}", 0.97) for k in range(3, 9)]
+    assert len(L._assign(pd.DataFrame(edges, columns=["left", "right", "weight"]))) == 8
+
+
 def tables(spark, tmp_path, info, cpe):
     schema = "id bigint, fp_software string, fp_publisher string, fp_version string, software string, software_alternative array<string>, publisher string, publisher_alternative array<string>, cpe_string string"
     spark.createDataFrame(info, schema).write.mode("overwrite").parquet(str(tmp_path / "software_info.parquet"))
