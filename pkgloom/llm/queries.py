@@ -86,6 +86,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.link_pairs(names.entities(publisher_names(spark, folder), publishers_together(spark, folder)))
 
 
+def p6_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, entity, links): the class of every name and the number of names that it is linked to."""
+    return names.members(names.entities(publisher_names(spark, folder), publishers_together(spark, folder)))
+
+
 def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds the canonical product words of (text, entity) to each row."""
     memo: dict[tuple, str] = {}
@@ -263,7 +268,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p6_members, p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_rates)}
 
 
 
