@@ -1,10 +1,16 @@
 """Match the records of two sources that share no key, by several noisy attributes.
 
 Both sources are reduced to distinct forms (publisher entity, product words). The forms of both are sorted by several
-composite keys; in each order a window slides over them and compares every two forms in it by weighted similarities
-of publisher and product. Beside the windows, forms whose letters are the same but for one edit are joined exactly, however
-many forms lie between them. Similar forms of one source become one product (star clustering); between the products
-of the two sources a one-to-one assignment with the greatest total confidence is kept, and expanded to the records.
+composite keys, all in one pass; in each order a window slides over them and compares every two forms in it by the weighted
+similarities of publisher and product. Orders that begin with the publisher hold forms; orders that begin with the product
+hold distinct products, so that a name shared by any number of publishers takes one place of a window. Beside the windows,
+forms whose letters are the same but for one edit are joined exactly, however many forms lie between them. A record without
+publisher gets the one that its hint, its own words or its product tell, and is then matched like the others. Similar forms
+of one source become one product (star clustering); between the products of the two sources a one-to-one assignment
+with the greatest total confidence is kept, and expanded to the records.
+
+Stars are joins over pairs of forms; the assignment of one task holds the edges between the products of one connected
+component, never forms or records.
 
 Defined results: a record without a product name matches nothing; one without any publisher is matched only where its
 product, its hint or its alternative names single out one publisher; ties are settled by spelling.
@@ -13,7 +19,7 @@ product, its hint or its alternative names single out one publisher; ties are se
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import permutations
@@ -22,20 +28,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut
-from pkgloom.llm.names import close_words, distance, plain
+from pkgloom.engine import cut, join_skewed
+from pkgloom.llm.names import close_words, distance, monge_elkan, plain, stars
 
 #: Forms that the window spans in each order.
 WIDTH = 24
 #: Weights of the attributes in the confidence; the product must reach PRODUCT_LEAST by itself.
 PUBLISHER_WEIGHT, PRODUCT_WEIGHT, HINT_WEIGHT = 0.4, 0.5, 0.1
 PRODUCT_LEAST = 0.85
+#: Similarity that the names of two publishers of different entities must reach in the window.
+PUBLISHER_LEAST = 0.95
 #: A word that at most so many publishers use singles out a product.
 RARE_OWNERS = 3
 #: The prefix lib is no part of the name in words of so many letters.
 LIB_LEAST = 9
 
-# Abbreviations of product words, and words that add nothing to a product's name.
+# Abbreviations of product words, and words that add nothing to a product's name; defaults of parameters.
 SHORT_FORMS = {
     "cc": "compiler", "mon": "monitor", "cli": "client", "srv": "server", "sched": "scheduler", "mgr": "manager",
     "conv": "converter", "arc": "archive", "img": "image", "tk": "toolkit", "net": "network", "sess": "session",
@@ -47,18 +55,32 @@ EMPTY_WORDS = {"main", "oss", "software", "the", "tm", "r", "inc", "project", "a
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def product_words(text: str | None, entity: str) -> str:
+def product_words(text: str | None, entity: str, short_forms: dict[str, str] = SHORT_FORMS, empty_words: set[str] = EMPTY_WORDS) -> str:
     """The words of a product in one canonical form: short forms expanded, empty words and the publisher's own words
     (typing errors included) left out, unless nothing would remain."""
     text = CAMEL.sub(" ", plain(text or "").replace("™", " "))
-    words = [SHORT_FORMS.get(w, w) for w in re.findall(r"[^\W_]+", text.lower())]
-    words = [w for w in words if w not in EMPTY_WORDS] or words
+    words = [short_forms.get(w, w) for w in re.findall(r"[^\W_]+", text.lower())]
+    words = [w for w in words if w not in empty_words] or words
     words = [w[3:] if w.startswith("lib") and len(w) >= LIB_LEAST else w for w in words]
     mine = [w for w in entity.split() if len(w) > 3]
     rest = [w for w in words if not any(close_words(w, m) for m in mine)]
     return " ".join(rest or words)
 
 
+def spells(words: tuple[str, ...], text: str, edits: int) -> bool:
+    """Whether the words, each once and in some order, make up the text but for so many edits, all in one word."""
+    if not words:
+        return not text
+    for w in dict.fromkeys(words):
+        left = list(words)
+        left.remove(w)
+        if text.startswith(w) and spells(tuple(left), text[len(w) :], edits):
+            return True
+        if edits and any(distance(w, text[:n], edits) <= edits and spells(tuple(left), text[n:], 0) for n in range(max(0, len(w) - edits), len(w) + edits + 1) if n <= len(text)):
+            return True
+    return False
+
+
 def product_similarity(a: str, b: str) -> float:
     """1 for the same words in any order, less for joined words and typing errors, 0 for different products."""
     x, y = a.split(), b.split()
@@ -68,22 +90,23 @@ def product_similarity(a: str, b: str) -> float:
         left, right = sorted(set(x) - set(y)), sorted(set(y) - set(x))
         if len(left) == len(right) == 1 and min(len(left[0]), len(right[0])) >= 5 and close_words(left[0], right[0]):
             return 0.9
-    if len(x) > 4 or len(y) > 4:
-        return 0.95 if "".join(x) == "".join(y) else 0.0
-    joined = "".join(y)
-    orders = ["".join(p) for p in permutations(x)] + ["".join(x)]
-    if joined in orders or "".join(x) in ["".join(p) for p in permutations(y)]:
+    one, other = "".join(x), "".join(y)
+    if abs(len(one) - len(other)) > 1:
+        return 0.0
+    if sorted(one) == sorted(other) and (spells(tuple(x), other, 0) or spells(tuple(y), one, 0)):
         return 0.97
-    if len(x) != len(y) and len(joined) >= 8 and any(distance(o, joined, 1) <= 1 for o in orders):
-        return 0.87
+    if len(x) != len(y) and min(len(one), len(other)) >= 8 and [c for c in one if c.isdigit()] == [c for c in other if c.isdigit()]:
+        shared = Counter(one) & Counter(other)
+        if shared.total() >= max(len(one), len(other)) - 1 and (spells(tuple(x), other, 1) or spells(tuple(y), one, 1)):
+            return 0.87
     return 0.0
 
 
-def sliding_pairs(rows: DataFrame, order: list[str], compare: Callable[[dict, dict], float], width: int = WIDTH, total: int | None = None) -> DataFrame:
+def sliding_pairs(rows: DataFrame, order: list[str], compare: Callable[[dict, dict], float], width: int = WIDTH, total: int | None = None, carry: list[str] = ()) -> DataFrame:
     """(form_a, form_b, similarity > 0) of forms that lie within ``width`` rows of each other in the given order.
 
     Rows are range-sorted; each partition also gets the first rows of the next one, so windows run across borders.
-    ``total`` is the number of rows where the caller knows it."""
+    ``total`` is the number of rows where the caller knows it; the columns of ``carry`` are those of the second form."""
     columns = rows.columns
     total = rows.count() if total is None else total
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -111,10 +134,12 @@ def sliding_pairs(rows: DataFrame, order: list[str], compare: Callable[[dict, di
                         continue
                     s = compare(other, row)
                     if s > 0:
-                        out.append((other["form"], row["form"], s))
+                        out.append((other["form"], row["form"], s, *[row[c] for c in carry]))
                 last.append(row)
-            yield pd.DataFrame(out, columns=["form_a", "form_b", "similarity"])
+            yield pd.DataFrame(out, columns=["form_a", "form_b", "similarity", *carry])
 
+    kinds = dict(rows.dtypes)
+    result = ", ".join(["form_a string", "form_b string", "similarity double", *[f"`{c}` {kinds[c]}" for c in carry]])
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", part int, at bigint"
     while True:
         ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -138,22 +163,32 @@ def sliding_pairs(rows: DataFrame, order: list[str], compare: Callable[[dict, di
         body.select(*columns, "part", "at", "halo")
         .repartition(max(1, len(parts)), "part")
         .sortWithinPartitions("part", "halo", "at")
-        .mapInPandas(slide, "form_a string, form_b string, similarity double")
+        .mapInPandas(slide, result)
     )
 
 
-def same_publisher(a: dict, b: dict) -> float:
-    if a["entity"] != b["entity"]:
+def publisher_similarity(a: str, b: str) -> float:
+    """1 for one entity, the Monge-Elkan similarity of the worse direction for the names of two."""
+    if a == b:
+        return 1.0
+    x, y = a.split(), b.split()
+    if x[0] != y[0] and not close_words(x[0], y[0]):
         return 0.0
-    s = product_similarity(a["product"], b["product"])
-    return s if s >= PRODUCT_LEAST else 0.0
+    return min(monge_elkan(x, y), monge_elkan(y, x))
 
 
-def any_publisher(a: dict, b: dict) -> float:
-    if bool(a["entity"]) == bool(b["entity"]):
+def weighted(a: dict, b: dict) -> float:
+    """The weighted similarity of two entries of one order, 0 where publisher or product fall short. Entries of the orders
+    that begin with the product have no publisher and are compared by the product alone."""
+    if a["sorting"] != b["sorting"]:
+        return 0.0
+    publisher = publisher_similarity(a["entity"], b["entity"])
+    if publisher < PUBLISHER_LEAST:
+        return 0.0
+    product = product_similarity(a["product"], b["product"])
+    if product < PRODUCT_LEAST:
         return 0.0
-    s = product_similarity(a["product"], b["product"])
-    return s if s >= PRODUCT_LEAST else 0.0
+    return (PUBLISHER_WEIGHT * publisher + PRODUCT_WEIGHT * product) / (PUBLISHER_WEIGHT + PRODUCT_WEIGHT) if publisher < 1 else product
 
 
 def sort_keys(forms: DataFrame) -> DataFrame:
@@ -266,52 +301,6 @@ def _assign(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(a, b, -w) for w, a, b in chosen], columns=["left", "right", "weight"])
 
 
-def _resolve(group: pd.DataFrame) -> pd.DataFrame:
-    """Within one component: stars of similar forms on either side, then the assignment between the stars."""
-    star: dict[str, dict[str, str]] = {"c": {}, "s": {}}
-    forms = group[group["kind"] == "form"]
-    links: dict[str, dict[str, float]] = {}
-    for a, b, s in group.loc[group["kind"] == "pair", ["form_a", "form_b", "weight"]].itertuples(index=False):
-        links.setdefault(a, {})[b] = max(s, links.get(a, {}).get(b, 0))
-        links.setdefault(b, {})[a] = max(s, links.get(b, {}).get(a, 0))
-    counts = dict(zip(forms["form_a"], forms["weight"], strict=True))
-    for side in "cs":
-        mine = sorted((f for f in counts if f[0] == side), key=lambda f: (-counts[f], f))
-        for f in mine:
-            near = [(s, g) for g, s in links.get(f, {}).items() if g[0] == side and star[side].get(g) == g]
-            star[side][f] = max(near)[1] if near else f
-    weights: dict[tuple[str, str], float] = {}
-    for a, near in links.items():
-        if a[0] == "c":
-            for b, s in near.items():
-                if b[0] == "s":
-                    pair = star["c"][a], star["s"][b]
-                    weights[pair] = max(weights.get(pair, 0.0), s)
-    # components, so that the assignment stays small
-    leader = {}
-
-    def find(x: str) -> str:
-        while leader.setdefault(x, x) != x:
-            x = leader[x]
-        return x
-
-    for a, b in weights:
-        leader[find(a)] = find(b)
-    parts: dict[str, list] = {}
-    for (a, b), w in weights.items():
-        parts.setdefault(find(a), []).append((a, b, w))
-    matched: dict[str, tuple[str, float]] = {}
-    for part in parts.values():
-        for a, b, w in _assign(pd.DataFrame(part, columns=["left", "right", "weight"])).itertuples(index=False):
-            matched[a] = matched[b] = (a, w)
-    out = []
-    for f in counts:
-        center = star[f[0]][f]
-        product, weight = matched.get(center, (center, 0.0))
-        out.append((f, product, weight))
-    return pd.DataFrame(out, columns=["form", "product_id", "weight"])
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(form, part): connected components of the pairs (form_a, form_b), named by their smallest form. Labels run along
     the pairs and jump to the label of the label until none changes, so no publisher's forms meet in one task."""
@@ -330,32 +319,64 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
-def match_products(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``forms`` (form, entity, product, n), distinct, form being its side's letter c or s, the entity, \\u0001, the product.
 
-    Returns (form, product_id, weight): forms of both sides with equal product_id and a positive weight are one
-    product; and (form_a, form_b, similarity) between forms without publisher and the others."""
-    keyed = cut(sort_keys(forms.select("form", "entity", "product", "n")))
-    owned = keyed.where("entity <> ''")
-    sizes = {r.owned: r["count"] for r in keyed.groupBy((F.col("entity") != "").alias("owned")).count().collect()}
-    pairs = edit_pairs(keyed, loose=False)
-    for key in ("by_words", "by_letters", "by_longest"):
-        found = sliding_pairs(owned.select("form", "entity", "product", key), ["entity", key], same_publisher, total=sizes.get(True, 0))
-        pairs = pairs.unionByName(found)
-    pairs = cut(pairs.groupBy("form_a", "form_b").agg(F.max("similarity").alias("weight")))
-    part = components(pairs)
-    lines = pairs.join(part.withColumnRenamed("form", "form_a"), "form_a").select(
-        "part", F.lit("pair").alias("kind"), "form_a", "form_b", "weight"
-    )
-    counted = owned.join(part, "form", "left").select(
-        "part", F.lit("form").alias("kind"), F.col("form").alias("form_a"), F.lit("").alias("form_b"), F.col("n").cast("double").alias("weight")
+    Returns the similar pairs (form_a, form_b, similarity) of forms with publishers, and the same of those without one
+    (form_a) with those that have one. All orders are sorted and compared in one pass."""
+    keyed = cut(sort_keys(forms.select("form", "entity", "product")))
+    keys = ("by_words", "by_letters", "by_longest")
+    owned = keyed.where("entity <> ''").select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("sorting"), "entity", F.col(key).alias("sort")) for k, key in enumerate(keys)])).alias("o"), "form", "product"
+    ).select("o.sorting", F.col("o.entity").alias("lead"), "o.sort", "form", F.col("o.entity").alias("entity"), "product")
+    named = keyed.groupBy("product").agg(*[F.first(k).alias(k) for k in keys])
+    bare = named.select(
+        F.explode(F.array(*[F.struct(F.lit(k + len(keys)).alias("sorting"), F.col(key).alias("sort")) for k, key in enumerate(keys)])).alias("o"), "product"
+    ).select("o.sorting", F.col("o.sort").alias("lead"), F.lit("").alias("sort"), F.col("product").alias("form"), F.lit("").alias("entity"), "product")
+    found = cut(sliding_pairs(cut(owned.unionByName(bare)), ["sorting", "lead", "sort"], weighted, carry=["sorting"]))
+    strict = found.where(F.col("sorting") < len(keys)).drop("sorting").unionByName(edit_pairs(keyed, loose=False))
+    strict = strict.groupBy("form_a", "form_b").agg(F.max("similarity").alias("similarity"))
+    # products that are alike, each also with itself, are those of forms without publisher and of others
+    alike = found.where(F.col("sorting") >= len(keys)).select(F.col("form_a").alias("p"), F.col("form_b").alias("q"), "similarity")
+    alike = alike.unionByName(alike.select(F.col("q").alias("p"), F.col("p").alias("q"), "similarity")).unionByName(named.select(F.col("product").alias("p"), F.col("product").alias("q"), F.lit(1.0).alias("similarity")))
+    lacking = keyed.where("entity = ''").select(F.col("product").alias("p"), F.col("form").alias("form_a"))
+    others = keyed.where("entity <> ''").select(F.col("product"), F.col("form").alias("form_b"))
+    sizes = others.groupBy("product").agg(F.count(F.lit(1)).alias("held"))
+    partners = alike.join(lacking, "p").groupBy(F.col("q").alias("product")).agg(F.collect_set(F.struct("form_a", "similarity")).alias("near")).join(sizes, "product")
+    met = join_skewed(others, cut(partners), ["product"], "held").select(F.explode("near").alias("x"), "form_b").select("x.form_a", "form_b", "x.similarity")
+    loose = met.unionByName(edit_pairs(keyed, loose=True)).groupBy("form_a", "form_b").agg(F.max("similarity").alias("similarity"))
+    return cut(strict), cut(loose)
+
+
+def products_of(forms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(form, product_id, weight) of all ``forms`` (form, n), given their similar ``pairs`` (form_a, form_b, similarity): stars of
+    similar forms on either side, then the one-to-one assignment between them. Forms of both sides with equal product_id
+    and a positive weight are one product."""
+    counts = forms.select("form", F.col("n").cast("bigint").alias("n"))
+    same = F.substring("form_a", 1, 1) == F.substring("form_b", 1, 1)
+    sided = pairs.where(same).join(counts.select(F.col("form").alias("form_a"), "n"), "form_a").join(counts.select(F.col("form").alias("form_b"), F.col("n").alias("m")), "form_b")
+    star = stars(sided.select(F.col("form_a").alias("node"), F.col("form_b").alias("ahead"), "n", "m", F.col("similarity").alias("s")))
+    center = cut(counts.join(star.withColumnRenamed("node", "form"), "form", "left").select("form", F.coalesce("center", "form").alias("center")))
+    crossed = pairs.where(~same).select(
+        F.when(F.startswith("form_a", F.lit("c")), F.col("form_a")).otherwise(F.col("form_b")).alias("c"), F.when(F.startswith("form_a", F.lit("c")), F.col("form_b")).otherwise(F.col("form_a")).alias("s"), "similarity"
     )
-    lines = lines.unionByName(counted.where("part is not null"))
-    resolved = lines.groupBy("part").applyInPandas(_resolve, "form string, product_id string, weight double")
-    single = counted.where("part is null").select(F.col("form_a").alias("form"), F.col("form_a").alias("product_id"), F.lit(0.0).alias("weight"))
-    products = cut(resolved.unionByName(single))
-    loose = edit_pairs(keyed, loose=True)
-    for key in ("by_words", "by_letters", "by_longest"):
-        found = sliding_pairs(keyed.select("form", "entity", "product", key), [key, "entity"], any_publisher, total=sum(sizes.values()))
-        loose = loose.unionByName(found)
-    return products, cut(loose.groupBy("form_a", "form_b").agg(F.max("similarity").alias("similarity")))
+    edges = (
+        crossed.join(center.select(F.col("form").alias("c"), F.col("center").alias("left")), "c").join(center.select(F.col("form").alias("s"), F.col("center").alias("right")), "s")
+        .groupBy("left", "right").agg(F.max("similarity").alias("weight"))
+    )
+    lefts, rights = edges.groupBy("left").agg(F.count(F.lit(1)).alias("nl")), edges.groupBy("right").agg(F.count(F.lit(1)).alias("nr"))
+    edges = cut(edges.join(lefts, "left").join(rights, "right"))
+    alone = edges.where("nl = 1 and nr = 1").select("left", "right", "weight")
+    tangled = edges.where("nl > 1 or nr > 1").select("left", "right", "weight")
+    part = components(tangled.select(F.col("left").alias("form_a"), F.col("right").alias("form_b"))).withColumnRenamed("form", "left")
+    tasks = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = tangled.join(part, "left").repartition(tasks, "part").groupBy("part").applyInPandas(_assign, "left string, right string, weight double")
+    matched = cut(alone.unionByName(chosen))
+    product = matched.select(F.col("left").alias("center"), F.col("left").alias("product_id"), "weight").unionByName(matched.select(F.col("right").alias("center"), F.col("left").alias("product_id"), "weight"))
+    return cut(center.join(product, "center", "left").select("form", F.coalesce("product_id", "center").alias("product_id"), F.coalesce("weight", F.lit(0.0)).alias("weight")))
+
+
+def match_products(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``forms`` (form, entity, product, n): the products of those with a publisher, and the similar pairs of the others with them."""
+    pairs, loose = candidates(forms)
+    return products_of(forms.where("entity <> ''"), pairs), loose

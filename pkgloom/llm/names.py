@@ -241,8 +241,8 @@ def stars(pairs: DataFrame) -> DataFrame:
     of a graph: star clusters. Nodes of a heavier class (powers of WEIGHT_CLASS, so that chance does not rank rare ones) go first,
     in a class those with more edges, then the heavier, then the first in spelling. A node is a centre when none of those
     ahead of it is one; any other belongs to the first of the centres that it has an edge to. Rounds run until every node is
-    settled, however long the chains are."""
-    pairs = cut(pairs.select("node", "ahead", "n", "m"))
+    settled, however long the chains are. Where the pairs have a similarity ``s``, the most similar centre comes first."""
+    pairs = cut(pairs.withColumn("s", F.col("s") if "s" in pairs.columns else F.lit(1.0)).select("node", "ahead", "n", "m", "s"))
     edges_of = pairs.select(F.explode(F.array("node", "ahead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     both = pairs.join(edges_of, "node").join(edges_of.select(F.col("node").alias("ahead"), F.col("degree").alias("d2")), "ahead")
 
@@ -251,7 +251,7 @@ def stars(pairs: DataFrame) -> DataFrame:
         return F.struct((-grade).alias("g"), (-F.col(degree)).alias("d"), (-F.col(weight)).alias("w"), F.col(node).alias("v"))
 
     one, other = rank("n", "degree", "node"), rank("m", "d2", "ahead")
-    behind_first = F.when(one > other, F.struct("node", "ahead", other.alias("r"))).otherwise(F.struct(F.col("ahead").alias("node"), F.col("node").alias("ahead"), one.alias("r")))
+    behind_first = F.when(one > other, F.struct("node", "ahead", other.alias("r"), "s")).otherwise(F.struct(F.col("ahead").alias("node"), F.col("node").alias("ahead"), one.alias("r"), "s"))
     edges = cut(both.select(behind_first.alias("e")).select("e.*"))
     behind = edges.select(F.col("node").alias("ahead"), F.lit(False).alias("first")).distinct()
     rooted = F.coalesce("first", F.lit(True))
@@ -267,7 +267,7 @@ def stars(pairs: DataFrame) -> DataFrame:
         state = cut(state.join(seen, "node").select("node", F.coalesce("central", verdict).alias("central")))
     satellite = state.where("not central").select("node")
     centers = edges.join(satellite.select(F.col("node").alias("ahead")), "ahead", "left_anti")
-    best = centers.join(satellite, "node", "left_semi").groupBy("node").agg(F.min_by("ahead", "r").alias("center"))
+    best = centers.join(satellite, "node", "left_semi").groupBy("node").agg(F.min_by("ahead", F.struct(-F.col("s"), "r")).alias("center"))
     return best
 
 

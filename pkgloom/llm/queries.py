@@ -12,8 +12,8 @@ from pkgloom.engine import cut, join_skewed, key_spelling, small, table
 from pkgloom.llm import canonical, fingerprints, leakage, linkage, names, packing, survivor, truncation
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
-#: Parts into which the records of one product are spread when they meet its dictionary entries.
-SALTS = 16
+#: Records of one product that one task joins with its dictionary entries.
+SPREAD = 2_000
 
 FP = ["fp_software", "fp_publisher", "fp_version"]
 
@@ -104,8 +104,8 @@ def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(product=[memo[k] for k in keys])
 
 
-def product_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """(cpe_id, software_id, confidence): see TESTDATA problem 2."""
+def product_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """((cpe_id, product_id), (software_id, product_id, confidence)): the products of both sources that are matched."""
     info, cpe = table(spark, folder, "software_info"), table(spark, folder, "cpe_entities")
     none = F.array().cast("array<string>")
     hint = F.split(F.lower(F.regexp_replace("cpe_string", r"^(?i)cpe:(?:2\.3:|/)a:", "")), ":")
@@ -118,71 +118,73 @@ def product_matches(spark: SparkSession, folder: str) -> DataFrame:
             lambda x: x != "",
         ).alias("said"),
         F.filter(F.concat(F.array("software"), F.coalesce("software_alternative", none)), lambda x: F.coalesce(x, F.lit("")) != "").alias("texts"),
-        key_spelling(hint[0]).alias("hint_publisher"),
-        key_spelling(F.col("fp_publisher")).alias("fp"),
+        F.filter(F.array(key_spelling(hint[0]), key_spelling(F.col("fp_publisher"))), lambda x: x != "").alias("beside"),
     )
     spelled = (
         publisher_names(spark, folder)
         .unionByName(cpe_forms.where("name <> ''").groupBy("name").agg(F.sum("n").alias("n")))
-        .unionByName(records.where("hint_publisher <> ''").groupBy(F.col("hint_publisher").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+        .unionByName(records.select(F.explode("beside").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
         .groupBy("name")
         .agg(F.sum("n").alias("n"))
     )
-    entity = cut(
-        names.entities(spelled, publishers_together(spark, folder)).join(spelled, "name").select("name", "entity", "n")
-    )
-    named = (
-        join_skewed(records.select("software_id", F.posexplode("said").alias("at", "name")), entity, ["name"], "n")
-        .groupBy("software_id")
-        .agg(F.min(F.struct("at", "entity")).alias("e"))
-        .select("software_id", F.col("e.entity").alias("entity"))
+    spelled = cut(spelled)
+    entity = cut(names.entities(spelled, publishers_together(spark, folder)).join(spelled, "name").select("name", "entity", "n"))
+    # what a record says of its publisher, in order, and what stands beside it (place -1)
+    called = records.select("software_id", F.posexplode("said").alias("at", "name")).unionByName(records.select("software_id", F.lit(-1).alias("at"), F.explode("beside").alias("name")))
+    meant = join_skewed(called, entity, ["name"], "n").groupBy("software_id").agg(
+        F.min(F.when(F.col("at") >= 0, F.struct("at", "entity"))).alias("e"), F.collect_set(F.when(F.col("at") < 0, F.col("entity"))).alias("asides")
     )
-    asides = join_skewed(
-        records.select("software_id", F.explode(F.array("hint_publisher", "fp")).alias("name")).where("name <> ''"), entity, ["name"], "n"
-    ).select("software_id", F.col("entity").alias("aside"))
-    known = records.join(named, "software_id", "left").withColumn("entity", F.coalesce("entity", F.lit("")))
+    known = records.join(meant, "software_id", "left").select("software_id", "texts", F.coalesce("e.entity", F.lit("")).alias("entity"), F.coalesce("asides", none).alias("asides"))
     # without a publisher, the first word may be the publisher's; the rest then counts only if it is
     _tail = F.regexp_replace(F.trim("said"), r"^\S+\s+(?=\S)", "")
     s_rows = cut(
-        known.select("software_id", "entity", F.explode("texts").alias("said"))
-        .select("software_id", "entity", "said", F.explode(F.array_distinct(F.array("said", _tail))).alias("text"))
+        known.select("software_id", "entity", "asides", F.explode("texts").alias("said"))
+        .select("software_id", "entity", "asides", "said", F.explode(F.array_distinct(F.array("said", _tail))).alias("text"))
         .where("text = said or entity = ''")
-        .mapInPandas(_words_of, "software_id bigint, entity string, said string, text string, product string")
+        .mapInPandas(_words_of, "software_id bigint, entity string, asides array<string>, said string, text string, product string")
+        .withColumn("form", F.concat(F.lit("s"), F.concat_ws("\u0001", "entity", "product")))
     )
     c_rows = cut(
         cpe_forms.join(entity.drop("n"), "name", "left")
         .select("publisher", F.col("product").alias("text"), "n", F.coalesce("entity", F.concat(F.lit("? "), "name")).alias("entity"))
         .mapInPandas(_words_of, "publisher string, text string, n bigint, entity string, product string")
+        .withColumn("form", F.concat(F.lit("c"), F.concat_ws("\u0001", "entity", "product")))
     )
-    form = F.concat_ws("\u0001", F.col("entity"), F.col("product"))
-    s_rows = s_rows.withColumn("form", F.concat(F.lit("s"), form))
-    c_rows = c_rows.withColumn("form", F.concat(F.lit("c"), form))
     s_forms = s_rows.groupBy("form", "entity", "product").agg(F.count(F.lit(1)).alias("n"))
     c_forms = c_rows.groupBy("form", "entity", "product").agg(F.sum("n").alias("n"))
     forms = cut(s_forms.unionByName(c_forms).where("product <> ''"))
-    products, loose = linkage.match_products(forms)
-    cpe_of = c_rows.select("publisher", F.col("text").alias("product"), "form").join(products, "form").drop("form", "weight")
-    # records with a publisher: the product of the spelling they use first that is matched
-    sized = products.join(s_forms.select("form", "n"), "form")
-    direct = (
-        join_skewed(s_rows.select("software_id", "form"), sized, ["form"], "n")
+    pairs, loose = linkage.candidates(forms)
+    placed, bridges = guessed_publishers(s_rows.where("entity = ''"), forms, loose)
+    said = s_rows.where("entity <> ''").select("software_id", "form", F.array_contains("asides", F.col("entity")).cast("int").alias("hinted"), F.lit(1).alias("named"))
+    placed = cut(said.unionByName(placed.withColumn("named", F.lit(0))))
+    sizes = placed.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    everything = sizes.unionByName(c_forms.where("product <> ''").select("form", "n"))
+    products = linkage.products_of(everything, pairs.unionByName(bridges).groupBy("form_a", "form_b").agg(F.max("similarity").alias("similarity")))
+    told = (
+        join_skewed(placed, products.join(sizes, "form"), ["form"], "n")
         .where("weight > 0")
         .groupBy("software_id", "product_id")
-        .agg(F.max("weight").alias("weight"))
-        .withColumn("confidence", F.lit(linkage.PUBLISHER_WEIGHT) + linkage.PRODUCT_WEIGHT * F.col("weight"))
-    )
-    # records without one: every product with their name, kept where one publisher stands out
-    sided = loose.select(
-        F.when(F.col("form_a").startswith("s\u0001"), F.col("form_a")).otherwise(F.col("form_b")).alias("form"),
-        F.when(F.col("form_a").startswith("s\u0001"), F.col("form_b")).otherwise(F.col("form_a")).alias("other"),
-        "similarity",
-    ).where("startswith(form, 's\u0001')")
-    offers = (
-        sided.join(products.select(F.col("form").alias("other"), "product_id"), "other")
-        .join(forms.select(F.col("form").alias("other"), F.col("entity").alias("aside")), "other")
-        .groupBy("form", "aside", "product_id")
-        .agg(F.max("similarity").alias("weight"))
+        .agg(F.max(linkage.PUBLISHER_WEIGHT * F.col("named") + linkage.PRODUCT_WEIGHT * F.col("weight") + linkage.HINT_WEIGHT * F.col("hinted")).alias("confidence"))
+        .withColumn("confidence", F.round("confidence", 4))
     )
+    entries = (
+        cpe.where("product is not null and product <> ''").select(F.col("id").alias("cpe_id"), F.coalesce("publisher", F.lit("")).alias("publisher"), "product")
+        .join(c_rows.select(F.coalesce("publisher", F.lit("")).alias("publisher"), F.col("text").alias("product"), "form").distinct(), ["publisher", "product"])
+        .join(products.where("weight > 0").select("form", "product_id"), "form")
+        .select("cpe_id", "product_id").distinct()
+    )
+    return entries, told
+
+
+def guessed_publishers(blank: DataFrame, forms: DataFrame, loose: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Publishers for the rows of records without one (``blank``: software_id, asides, said, text, form).
+
+    Returns (software_id, form, hinted), the form being that of the publisher that stands out for the record: one whose words
+    are part of what the record calls its product, or that its hint or distributor's field names, or the only one of a
+    product of telling words; and the pairs (form_a, form_b, similarity) that tie these forms to the others. Publishers
+    without any such evidence are never joined to a record, so a product name of many publishers stays cheap."""
+    offers = loose.select(F.col("form_a").alias("form"), F.col("form_b").alias("other"), "similarity").where(F.startswith("form", F.lit("s")))
+    offers = cut(offers.withColumn("aside", F.regexp_extract("other", "(?s)^.([^\u0001]*)", 1)))
     # a product of words that many publishers use says nothing by itself
     worded = forms.where("entity <> ''").select("entity", F.explode(F.split("product", " ")).alias("word"))
     used = worded.groupBy("word").agg(F.countDistinct("entity").alias("owners"))
@@ -190,34 +192,48 @@ def product_matches(spark: SparkSession, folder: str) -> DataFrame:
         forms.where("entity = ''").select("form", F.explode(F.split("product", " ")).alias("word")).join(used, "word", "left")
         .groupBy("form").agg(F.min(F.coalesce("owners", F.lit(0))).alias("owners"))
     )
-    offers = offers.join(offers.groupBy("form").agg(F.countDistinct("aside").alias("choices")), "form").join(rarest, "form")
-    offers = cut(offers.withColumn("telling", (F.col("choices") == 1) & (F.col("owners") <= linkage.RARE_OWNERS)))
-    backed = asides.distinct().withColumn("backed", F.lit(1))
-    guessed = (
-        s_rows.where("entity = ''").select("software_id", "form", "said", "text").distinct()
-        .join(offers, "form")
-        .join(backed, ["software_id", "aside"], "left")
-        .withColumn("own", F.exists(F.split("aside", " "), lambda w: (F.length(w) > 3) & F.contains(F.lower(F.col("said")), w)))
-        .where("own or text = said and (telling or backed is not null)")
-        .groupBy("software_id", "product_id")
-        .agg(F.max(F.coalesce("backed", F.lit(0)) + F.col("own").cast("int")).alias("support"), F.max("weight").alias("weight"))
-        .withColumn("most", F.expr("max(support) over (partition by software_id)"))
-        .where("support = most")
-        .select(
-            "software_id", "product_id", "weight",
-            (linkage.PRODUCT_WEIGHT * F.col("weight") + linkage.HINT_WEIGHT * F.least("support", F.lit(1))).alias("confidence"),
-        )
-    )
-    matched = cut(direct.unionByName(guessed.select(direct.columns)))
-    per_spelling = cpe_of.join(matched.select("product_id").distinct(), "product_id")
-    records_of = matched.select("product_id", "software_id", F.round("confidence", 4).alias("confidence"))
-    ids = cpe.select(F.col("id").alias("cpe_id"), F.coalesce("publisher", F.lit("")).alias("publisher"), "product").join(
-        per_spelling.select(F.coalesce("publisher", F.lit("")).alias("publisher"), "product", "product_id").distinct(), ["publisher", "product"]
-    )
-    # a product that many records name is spread over SALTS tasks
-    spread = records_of.withColumn("salt", F.pmod(F.xxhash64("software_id"), F.lit(SALTS)))
-    salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(spread, ["product_id", "salt"]).groupBy("cpe_id", "software_id").agg(F.max("confidence").alias("confidence"))
+    choices = offers.select("form", "aside").distinct()
+    only = choices.groupBy("form").agg(F.count(F.lit(1)).alias("choices"), F.first("aside").alias("aside")).join(rarest, "form")
+    only = only.where((F.col("choices") == 1) & (F.col("owners") <= linkage.RARE_OWNERS)).select("form", "aside")
+    spoken = cut(blank.groupBy("form", "said", "text").agg(F.count(F.lit(1)).alias("n")))
+    own_word = F.exists(F.split("aside", " "), lambda w: (F.length(w) > 3) & F.contains(F.lower(F.col("said")), w))
+    own = spoken.join(choices, "form").where(own_word).select("form", "said", "text", "aside", F.lit(1).alias("own"))
+    telling = spoken.where("text = said").join(only, "form").select("form", "said", "text", "aside", F.lit(0).alias("own"))
+    evidence = own.unionByName(telling).groupBy("form", "said", "text", "aside").agg(F.max("own").alias("own"))
+    listed = evidence.groupBy("form", "said", "text").agg(F.collect_list(F.struct("aside", "own")).alias("l")).join(spoken, ["form", "said", "text"])
+    by_text = join_skewed(blank.select("software_id", "form", "said", "text"), cut(listed), ["form", "said", "text"], "n").select("software_id", "form", F.explode("l").alias("x"))
+    by_text = by_text.select("software_id", "form", "x.aside", "x.own", F.lit(0).alias("backed"), F.lit(True).alias("enough"))
+    hinted = blank.select("software_id", "form", F.explode("asides").alias("aside"), (F.col("text") == F.col("said")).alias("enough"))
+    asked = hinted.groupBy("form", "aside").agg(F.count(F.lit(1)).alias("n")).join(choices, ["form", "aside"])
+    by_hint = join_skewed(hinted, cut(asked), ["form", "aside"], "n").select("software_id", "form", "aside", F.lit(0).alias("own"), F.lit(1).alias("backed"), "enough")
+    judged = (
+        by_text.unionByName(by_hint).groupBy("software_id", "form", "aside").agg(F.max("own").alias("own"), F.max("backed").alias("hinted"), F.max("enough").alias("enough"))
+        .where("enough").withColumn("support", F.col("own") + F.col("hinted"))
+        .withColumn("most", F.expr("max(support) over (partition by software_id)")).where("support = most")
+    )
+    chosen = cut(judged.select("software_id", F.col("form").alias("blank"), "aside", F.least("support", F.lit(1)).alias("hinted")))
+    moved = F.concat(F.lit("s"), F.col("aside"), F.expr("substr(blank, 2)"))
+    placed = chosen.select("software_id", moved.alias("form"), "hinted")
+    ties = chosen.select("blank", "aside").distinct().join(offers.withColumnRenamed("form", "blank"), ["blank", "aside"])
+    bridges = ties.select(moved.alias("form_a"), F.col("other").alias("form_b"), "similarity").where("form_a <> form_b")
+    return placed, bridges
+
+
+def product_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """(cpe_id, software_id, confidence): see TESTDATA problem 2. A product is spread by the number of its records."""
+    entries, told = product_classes(spark, folder)
+    held = told.groupBy("product_id").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("spread"))
+    spread = told.join(held, "product_id").withColumn("salt", F.pmod(F.xxhash64("software_id"), F.col("spread")).cast("int"))
+    salted = entries.join(held, "product_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1))).drop("spread")
+    return salted.join(spread.drop("spread"), ["product_id", "salt"]).groupBy("cpe_id", "software_id").agg(F.max("confidence").alias("confidence"))
+
+
+def p2_products(spark: SparkSession, folder: str) -> DataFrame:
+    """(side, id, product_id, links): every matched entry and record with its class and the number of its partners."""
+    entries, told = (cut(x) for x in product_classes(spark, folder))
+    many = told.groupBy("product_id").agg(F.count(F.lit(1)).alias("records")).join(entries.groupBy("product_id").agg(F.count(F.lit(1)).alias("entries")), "product_id")
+    one = entries.join(many, "product_id").select(F.lit("cpe").alias("side"), F.col("cpe_id").alias("id"), "product_id", F.col("records").alias("links"))
+    return one.unionByName(told.join(many, "product_id").select(F.lit("software").alias("side"), F.col("software_id").alias("id"), "product_id", F.col("entries").alias("links")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,7 +284,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p6_members, p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_products, p3_found, p3_collapsed, p4_found, p4_unmatched, p5_found, p6_found, p6_members, p7_packed, p7_fill, p8_found, p8_spans, p9_found, p9_rates)}
 
 
 

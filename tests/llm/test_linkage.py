@@ -28,13 +28,33 @@ def test_similarity():
     assert s("disk server", "disk") == 0 and s("a b c d e", "a b") == 0
 
 
+def test_similarity_of_many_words():
+    s = L.product_similarity
+    assert s("a1 bb cc dd ee ff", "ff ee dd cc bb a1") == 1.0
+    assert s("alpha beta gamma delta omega", "gammadelta omega alphabeta") == 0.97
+    assert s("alpha beta gamma delta omega", "omega gammadleta alphabeta") == 0.87 == s("alpha beta gamma delta omega", "omega gamadlta alphabeta") + 0.87 == s("alpha beta gamma delta omega", "omega gammadlta alphabeta") == 0.87
+    assert s("log4 server", "log5server") == 0 and s("x" * 40, "y" * 40) == 0
+
+
+def test_publishers_are_weighed():
+    form = lambda e, p: {"sorting": 0, "entity": e, "product": p}
+    assert L.weighted(form("quellenbrok marta", "disk server"), form("quellenbrok marta", "server disk")) == 1.0
+    assert 0.9 < L.weighted(form("quellenbrok marta", "disk server"), form("quelenbrok marta", "disk server")) < 1
+    assert L.weighted(form("quellenbrok martha", "disk server"), form("quellenbrok martin", "disk server")) == 0
+    assert L.weighted(form("quellenbrok marta", "disk server"), form("quellenbrok marta", "disk viewer")) == 0
+
+
+def test_word_lists_are_parameters():
+    assert L.product_words("log mon (main)", "x", {}, set()) == "log mon main"
+
+
 def test_windows_find_what_all_pairs_find(spark):
     words = [f"{a}{b}" for a in ("zubra", "tomal", "grite", "plosa") for b in ("ndor", "kesh", "miru", "vlot", "pexi")]
     rows = [(f"s{w}{e}", e, w, 1) for e in ("e1", "e2") for w in words] + [(f"c{w}{e}", e, w[:-1] + "q", 1) for e in ("e1", "e2") for w in words]
-    df = L.sort_keys(spark.createDataFrame(rows, "form string, entity string, product string, n bigint"))
+    df = L.sort_keys(spark.createDataFrame(rows, "form string, entity string, product string, n bigint")).selectExpr("*", "0 as sorting")
     got = set()
     for key in ("by_words", "by_letters", "by_longest"):
-        got |= {frozenset((r.form_a, r.form_b)) for r in L.sliding_pairs(df.select("form", "entity", "product", key), ["entity", key], L.same_publisher).collect()}
+        got |= {frozenset((r.form_a, r.form_b)) for r in L.sliding_pairs(df.select("form", "entity", "product", "sorting", key), ["entity", key], L.weighted).collect()}
     want = {frozenset((a[0], b[0])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and L.product_similarity(a[2], b[2]) >= L.PRODUCT_LEAST}
     assert got == want
 
@@ -92,6 +112,19 @@ def test_end_to_end(spark, tmp_path):
     assert tables(spark, tmp_path, info, cpe) == {(1, 1), (2, 1), (1, 2), (2, 2), (1, 5), (2, 5), (3, 3), (4, 4)}
 
 
+def test_publisher_among_many(spark, tmp_path):
+    """A name that sixty publishers use: the hint, or what the record calls it, tells the one that is meant."""
+    rnd = random.Random(4)
+    makers = ["".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(6)) for _ in range(60)]
+    cpe = [(k, m, "log_server", "1") for k, m in enumerate(makers)]
+    info = [(1, None, None, None, "Log Server", [], None, None, f"cpe:2.3:a:{makers[40]}:log_server:1"), (2, None, None, None, f"{makers[50]} Log Server", [], "", [], None), (3, None, None, None, "Log Server", [], None, None, None)]
+    info += [(10 + k, None, None, None, "Log Server", [], m.title(), [], None) for k, m in enumerate(makers)]
+    got = tables(spark, tmp_path, info, cpe)
+    assert got == {(40, 1), (50, 2)} | {(k, 10 + k) for k in range(60)}
+    rows = {(r.side, r.id): r.links for r in Q.p2_products(spark, str(tmp_path)).collect()}
+    assert rows["cpe", 40] == 2 and rows["software", 1] == 1 and ("software", 3) not in rows
+
+
 def test_empty(spark, tmp_path):
     assert tables(spark, tmp_path, [], []) == set()
 
