@@ -44,14 +44,21 @@ def build_index(spark: SparkSession, target: str, packages: DataFrame, links: Da
 
 def refresh(spark: SparkSession, target: str, name: str, merge) -> DataFrame:
     """Replace a table by ``merge`` of its old content (null where there is none). The new content is written beside the
-    old one and takes its place when it is complete."""
+    old one and takes its place when it is complete; the old one is set aside until then, and comes back by itself if the
+    change stopped between."""
     path = f"{target}/{name}.parquet"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    now, new, aside = jvm.Path(path), jvm.Path(f"{path}.new"), jvm.Path(f"{path}.old")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(now) and fs.exists(aside):
+        fs.rename(aside, now)
     old = spark.read.parquet(path) if exists(spark, path) else None
     merge(old).write.mode("overwrite").parquet(f"{path}.new")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(path), True)
-    fs.rename(jvm.Path(f"{path}.new"), jvm.Path(path))
+    fs.delete(aside, True)
+    if old is not None:
+        fs.rename(now, aside)
+    fs.rename(new, now)
+    fs.delete(aside, True)
     return spark.read.parquet(path)
 
 

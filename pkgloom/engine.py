@@ -26,6 +26,7 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -63,14 +64,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def checkpoint_folder(master: str, named: str | None) -> str:
+    """The folder for checkpoints: that which the session names. A folder of this machine is taken only where that is unset and
+    the master is local, since executors elsewhere could not read it."""
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return own_folder("checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that later stages do not recompute it
-    and a lost executor does not lose it. Uses ``spark.checkpoint.dir`` of the session; only where that is unset
-    (single-machine tests) a temporary folder is taken."""
+    and a lost executor does not lose it. Uses ``spark.checkpoint.dir`` of the session (see ``checkpoint_folder``). A checkpoint is
+    removed once nothing refers to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``session`` does."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or own_folder("checkpoints"))
+        context.setCheckpointDir(checkpoint_folder(context.master, df.sparkSession.conf.get("spark.checkpoint.dir", None)))
     return df.checkpoint()
 
 

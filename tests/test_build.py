@@ -6,6 +6,7 @@ import logging
 import pytest
 
 from pkgloom import build
+from pkgloom.engine import checkpoint_folder
 from pkgloom.plans import images
 from pkgloom.settings import JsonLines, load
 
@@ -47,3 +48,20 @@ def test_settings(tmp_path):
         load(None, {"PKGLOOM__NOPE__X": "1"})
     record = logging.makeLogRecord({"msg": "hi %s", "args": ("x",), "rows": 3, "levelname": "INFO"})
     assert json.loads(JsonLines().format(record)) | {"time": ""} == {"time": "", "level": "INFO", "logger": None, "message": "hi x", "rows": 3}
+
+
+def test_refresh_that_stopped_comes_back(spark, tmp_path):
+    target = str(tmp_path)
+    one = spark.createDataFrame([(1, "a")], "id int, v string")
+    build.refresh(spark, target, "t", lambda old: one)
+    (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.old")  # stopped after the old table was set aside
+    got = build.refresh(spark, target, "t", lambda old: old.unionByName(one.selectExpr("2 as id", "'b' as v")))
+    assert {tuple(r) for r in got.collect()} == {(1, "a"), (2, "b")}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t.parquet"]
+
+
+def test_checkpoints_of_a_cluster_are_shared():
+    assert checkpoint_folder("yarn", "hdfs://x/y") == "hdfs://x/y" and checkpoint_folder("local[4]", None)
+    for master in ("yarn", "spark://h:7077", "k8s://h", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_folder(master, None)
