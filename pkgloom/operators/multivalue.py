@@ -20,9 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut, unused
+from pkgloom.engine import cut, join_skewed, unused
 
-#: Rules are broadcast while there are at most so many skeletons (about 300 bytes each); beyond it they are shuffled.
+#: Rules are broadcast while there are at most so many skeletons (about 300 bytes each); beyond it they are shuffled, the
+#: commonest ones apart.
 BROADCAST_SKELETONS = 50_000
 
 # Separators that are ordinary characters in their context are replaced by private-use characters of equal length
@@ -209,13 +210,13 @@ def _rules(dialect: str):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rules = [[{"start": a, "size": k, "quoted": q} for a, k, q in resolve(s)] for s in batch["skeleton"]]
-            yield pd.DataFrame({"skeleton": batch["skeleton"], "rule": rules})
+            yield pd.DataFrame({"skeleton": batch["skeleton"], "rule": rules, "held": batch["held"]})
 
     return work
 
 
 def split_values(
-    df: DataFrame, field: str, dialect: str = "prose", vocabulary: Iterable[str] = (), names: Iterable[str] = ()
+    df: DataFrame, field: str, dialect: str = "prose", vocabulary: Iterable[str] = (), names: Iterable[str] = (), broadcast: int = BROADCAST_SKELETONS
 ) -> DataFrame:
     """``df`` with a column ``values_``: the values packed in ``field``, in order, as an array (empty for none). A column
     of that name is replaced; other columns may have any names.
@@ -240,20 +241,21 @@ def split_values(
     )
     t, s, r = unused(df, "tokens_", "skeleton_", "rule_")
     cutup = df.withColumn(t, tokens).withColumn(s, F.array_join(F.transform(t, lambda x: _class(x, dialect, words)), ""))
-    skeletons = cutup.select(F.col(s).alias("skeleton")).distinct()
-    rules = cut(skeletons.mapInPandas(_rules(dialect), f"skeleton string, rule {RULE}")).select(
-        F.col("skeleton").alias(s), F.col("rule").alias(r)
+    (n,) = unused(cutup, "held_")
+    skeletons = cutup.groupBy(F.col(s).alias("skeleton")).agg(F.count(F.lit(1)).alias("held"))
+    rules = cut(skeletons.mapInPandas(_rules(dialect), f"skeleton string, rule {RULE}, held bigint")).select(
+        F.col("skeleton").alias(s), F.col("rule").alias(r), F.col("held").alias(n)
     )
-    if rules.count() <= BROADCAST_SKELETONS:
-        rules = F.broadcast(rules)
+    few = rules.count() <= broadcast
+    ruled = cutup.join(F.broadcast(rules), s) if few else join_skewed(cutup, rules, [s], n)
 
     def value(x: Column) -> Column:
         text = _restore(F.array_join(F.slice(t, x["start"], x["size"]), ""))
         plain = F.regexp_replace(F.regexp_replace(text, r"\\([\"'])", "$1"), '""', '"')
         return F.trim(F.when(x["quoted"], plain).otherwise(text))
 
-    found = cutup.join(rules, s, "left").withColumn("values_", F.filter(F.transform(r, value), lambda v: v != ""))
-    return found.drop(t, s, r)
+    found = ruled.withColumn("values_", F.filter(F.transform(r, value), lambda v: v != ""))
+    return found.drop(t, s, r, n)
 
 
 def explode_values(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

@@ -93,3 +93,10 @@ def cases(spark):
 def test_round_trip(spark, cases):
     texts = [sep.join(f"{q}{i}{q}" for i in items) for items, sep, q in cases]
     assert values(spark, texts, "prose") == [items for items, _, _ in cases]
+
+
+def test_common_skeletons_are_joined_apart(spark):
+    texts = [f"Some thing {k} / Other" for k in range(200)] + [f"{'a, B; ' * (k % 9)}end {k}" for k in range(60)] + [None, ""]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "id int, t string, held_ int")
+    rows = [{(r.id, tuple(r.values_), r.held_) for r in split_values(df, "t", broadcast=b).collect()} for b in (50_000, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(texts)
