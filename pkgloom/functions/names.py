@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from pkgloom.functions.normalize import let
 
-# Distributions in the order in which they are looked for, with package family and vendor.
+# Distributions in the order in which they are looked for, with package family and the vendor that their own
+# package records name (null: the record comes from the index, see INDEX_VENDORS).
 DISTRIBUTIONS = [
     ("debian", "debuntu", "Debian"), ("ubuntu", "debuntu", "Canonical"), ("fedora", "fedora", "Fedora"),
-    ("red hat", "fedora", "Red Hat"), ("opensuse", "opensuse", "OpenSuse"), ("suse", "opensuse", "SUSE"),
-    ("alpine", "alpine", "Alpine Linux"), ("amazon", "fedora", "Amazon"), ("rocky", "centos", "Rocky Linux"),
-    ("alma", "centos", "AlmaLinux"), ("centos", "centos", "CentOS"), ("arch", "arch", "Arch Linux"),
+    ("red hat", "fedora", "Fedora"), ("opensuse", "opensuse", "OpenSuse"), ("suse", "opensuse", "OpenSuse"),
+    ("alpine", "alpine", "Alpine Linux"), ("amazon", "fedora", "Fedora"), ("rocky", "centos", None),
+    ("alma", "centos", None), ("centos", "centos", None), ("arch", "arch", "Arch Linux"),
+]
+
+# Vendors of records that come from the package index, in the order in which they are looked for.
+INDEX_VENDORS = [
+    ("debian", "Debian"), ("ubuntu", "Ubuntu"), ("fedora", "Fedora"), ("red hat", "Red Hat"), ("opensuse", "openSUSE"), ("suse", "SUSE"),
+    ("alpine", "Alpine Linux"), ("amazon", "Amazon"), ("rocky", "Rocky Enterprise Software Foundation"), ("alma", "AlmaLinux"), ("centos", "CentOS"),
 ]
 
 # What a host must contain for a public project service.
@@ -38,12 +45,21 @@ def family(publisher: Column) -> Column:
 
 
 def vendor(publisher: Column) -> Column:
+    """The vendor of a record from the package index."""
     out = F.lit(None).cast("string")
-    for name, _, maker in reversed(DISTRIBUTIONS):
+    for name, maker in reversed(INDEX_VENDORS):
         out = F.when(F.lower(publisher).contains(name), F.lit(maker)).otherwise(out)
     return out
 
 
+def record_vendor(publisher: Column) -> Column:
+    """The vendor that a distribution's own package record names; that of the index for distributions without such records."""
+    out = F.lit(None).cast("string")
+    for name, _, maker in reversed(DISTRIBUTIONS):
+        out = F.when(F.lower(publisher).contains(name), F.lit(maker).cast("string")).otherwise(out)
+    return F.coalesce(out, vendor(publisher))
+
+
 def host(url: Column) -> Column:
     text = F.coalesce(url, F.lit(""))
     return F.lower(F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)", 1))
@@ -232,3 +248,13 @@ def control_description(text: Column) -> Column:
 def author_list(authors: Column) -> Column:
     """Authors without their addresses, sorted, as one text."""
     return F.array_join(F.array_sort(F.transform(authors, lambda a: F.trim(F.regexp_replace(a, r"<[^>]*>", "")))), ", ")
+
+
+def related_page(package: Column, url: Column, content: Column) -> Column:
+    """Whether a page that was reached under another address belongs to a package: a part of its name of three letters or more
+    is in the address or on the page; if there is no such part, all parts are in one of them."""
+    parts = F.filter(F.split(F.lower(F.coalesce(package, F.lit(""))), r"[-\s]+"), lambda p: p != "")
+    long = F.filter(parts, lambda p: F.length(p) >= 3)
+    where, what = F.coalesce(url, F.lit("")), F.lower(F.coalesce(content, F.lit("")))
+    some = F.exists(long, lambda p: F.contains(where, p) | F.contains(what, p))
+    return F.when(F.size(long) > 0, some).otherwise(F.forall(parts, lambda p: F.contains(where, p)) | F.forall(parts, lambda p: F.contains(what, p)))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pkgloom.engine import cut, join_skewed, small
 from pkgloom.operators.lookup import best_of
 
+#: A list of licenses with more rows is refused rather than held by every worker.
+MAX_LICENSES = 5_000
+#: Distance within which the nearest license is the one meant, and the length of the stand-in's vectors.
+LICENSE_DISTANCE, DIMENSIONS = 0.2, 256
 #: Query vectors that are sent to the workers at a time.
 QUERY_BLOCK = 4_096
 
@@ -92,3 +99,56 @@ def _nearest_in(ids: list[int], vectors: list[list[float]], exclude_self: bool):
         yield pd.DataFrame({"query_id": own[some], "near_id": near[some], "d2": least[some]})
 
     return work
+
+
+def ngram_vectors(texts: pd.Series) -> pd.Series:
+    """A stand-in for an embedding model: hashed counts of the three-letter parts of a text in lower case, of length 1."""
+    out = np.zeros((len(texts), DIMENSIONS))
+    for row, text in enumerate(texts):
+        padded = f"  {(text or '').lower()}  "
+        for k in range(len(padded) - 2):
+            out[row, zlib.crc32(padded[k : k + 3].encode("utf-8", "surrogatepass")) % DIMENSIONS] += 1
+    return pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)), index=texts.index)
+
+
+def nearest_entries(values: DataFrame, entries: list[str], embed: Callable[[pd.Series], pd.Series] = ngram_vectors, threshold: float = LICENSE_DISTANCE) -> DataFrame:
+    """(identifier, entry, distance) for the distinct ``identifier`` of ``values`` whose nearest entry lies within ``threshold`` of
+    Euclidean distance, ties to the first in spelling. ``entries`` is a bounded list that every worker holds; values
+    are embedded where they are, in batches, and nothing but distinct identifiers is shuffled."""
+    listed = sorted(set(entries))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.stack(embed(pd.Series(listed, dtype=object)).to_list()) if listed else np.zeros((0, 1))
+        for batch in batches:
+            said = batch.column("identifier").to_pylist()
+            if not said or not len(base):
+                continue
+            asked = np.stack(embed(pd.Series(said, dtype=object)).to_list())
+            d2 = (asked**2).sum(axis=1)[:, None] + (base**2).sum(axis=1)[None, :] - 2 * asked @ base.T
+            near = d2.round(12).argmin(axis=1)
+            distance = np.sqrt(np.maximum(d2[np.arange(len(near)), near], 0))
+            found = np.flatnonzero(distance <= threshold)
+            columns = [pa.array([said[k] for k in found], type=pa.string()), pa.array([listed[near[k]] for k in found], type=pa.string()), pa.array(distance[found])]
+            yield pa.RecordBatch.from_arrays(columns, names=["identifier", "entry", "distance"])
+
+    distinct = values.select("identifier").where("identifier is not null").distinct()
+    return distinct.mapInArrow(work, "identifier string, entry string, distance double")
+
+
+def resolve_licenses(values: DataFrame, licenses: DataFrame, keys: list[str], embed: Callable[[pd.Series], pd.Series] = ngram_vectors, threshold: float = LICENSE_DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """((*keys, names), (identifier)) for ``values`` (*keys, at, identifier): per key the names of the listed identifiers in
+    their order, then those of the nearest entries, then the identifiers that have no counterpart, as they are; and these
+    latter, distinct, to be stored as licenses of their own name. An identifier is resolved once, however often it stands."""
+    dimension = small(licenses.select("identifier", "name"), MAX_LICENSES, "licenses")
+    listed = cut(values.select("identifier").where("identifier is not null").groupBy("identifier").agg(F.count(F.lit(1)).alias("held_")))
+    exact = listed.join(F.broadcast(licenses.select("identifier", "name")), "identifier").select("identifier", "name", F.lit(0).alias("rank_"))
+    open_ = listed.join(F.broadcast(licenses.select("identifier")), "identifier", "left_anti")
+    near = nearest_entries(open_, [r.identifier for r in dimension if r.identifier], embed, threshold)
+    named = licenses.select(F.col("identifier").alias("entry"), "name")
+    near = near.join(F.broadcast(named), "entry").select("identifier", "name", F.lit(1).alias("rank_"))
+    known = cut(exact.unionByName(near))
+    kept = open_.join(known.select("identifier"), "identifier", "left_anti").select("identifier")
+    table = known.unionByName(kept.select("identifier", F.col("identifier").alias("name"), F.lit(2).alias("rank_"))).join(listed, "identifier")
+    told = join_skewed(values.where("identifier is not null"), cut(table), ["identifier"], "held_")
+    names = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank_", "at", "name"))).alias("l_"))
+    return names.select(*keys, F.transform("l_", lambda x: x["name"]).alias("names")), kept

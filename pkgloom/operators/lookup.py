@@ -103,3 +103,16 @@ def not_yet_stored(fingerprints: DataFrame, stored: DataFrame, strict: bool = Fa
         mine = F.nullif(F.col(k), F.lit(""))
         condition = condition & ((mine == F.col(f"k_{k}")) if strict else mine.eqNullSafe(F.col(f"k_{k}")))
     return fingerprints.join(known, condition, "left_anti")
+
+
+def two_hops(asked: DataFrame, ways: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(package, source, homepage) of every distinct non-null package asked for: its source and that one's homepage, both from the
+    first of the ``ways`` that has one. A way is (package, source) and (source, homepage); of several sources the
+    first in spelling counts, of several homepages the last. Each side is reduced to a row a key before it is joined."""
+    found = asked.select("package").where("package is not null").distinct()
+    for k, (sources, homes) in enumerate(ways):
+        one = sources.where("package is not null and source is not null").groupBy("package").agg(F.min("source").alias(f"s{k}"))
+        home = homes.where("source is not null and homepage is not null").groupBy(F.col("source").alias(f"s{k}")).agg(F.max("homepage").alias(f"h{k}"))
+        found = found.join(one, "package", "left").join(home, f"s{k}", "left")
+    places = range(len(ways))
+    return found.select("package", F.coalesce(*[f"s{k}" for k in places]).alias("source"), F.coalesce(*[f"h{k}" for k in places]).alias("homepage"))

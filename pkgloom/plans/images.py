@@ -67,4 +67,7 @@ def package_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PUBLISHED = "case family when 'debuntu' then 'Debian' when 'fedora' then 'Fedora Project' when 'opensuse' then 'openSUSE' when 'alpine' then 'Alpine Linux' when 'arch' then 'Arch Linux' when 'centos' then 'CentOS' else 'Other' end"
+#: A publisher of every distribution that is told apart, by the id of an index row.
+DISTRIBUTED = """case id % 13 when 0 then 'Debian QA' when 1 then 'Ubuntu Developers' when 2 then 'Fedora Project' when 3 then 'Red Hat, Inc.' when 4 then 'openSUSE'
+ when 5 then 'SUSE LLC' when 6 then 'Alpine Linux' when 7 then 'Amazon Linux' when 8 then 'Rocky Enterprise' when 9 then 'AlmaLinux OS' when 10 then 'CentOS' when 11 then 'Arch Linux' else family end"""
 PACKAGE_FP_SQL = f"fp as (select distinct package as software, {PUBLISHED} as publisher, '' as version from packages_info)"

@@ -250,7 +250,11 @@ TIER_SQL = f"""case when {OK_SQL} and coalesce(description, '') <> '' and len(co
  when coalesce(homepage, '') <> '' and coalesce(description, '') <> '' and len(coalesce(licenses, [])) > 0 then 3
  when coalesce(homepage, '') <> '' then 4 when coalesce(project_url, '') <> '' then 5 when coalesce(package_url, '') <> '' then 6 else 7 end"""
 FAMILY_SQL = "case " + " ".join(f"when contains(lower(publisher), '{n}') then '{f}'" for n, f, _ in N.DISTRIBUTIONS) + " end"
-VENDOR_SQL = "case " + " ".join(f"when contains(lower(publisher), '{n}') then '{v}'" for n, _, v in N.DISTRIBUTIONS) + " end"
+# the vendors as the recognition names them, written out apart from the library's list
+VENDOR_SQL = """case when lower(publisher) like '%debian%' then 'Debian' when lower(publisher) like '%ubuntu%' then 'Ubuntu' when lower(publisher) like '%fedora%' then 'Fedora'
+ when lower(publisher) like '%red hat%' then 'Red Hat' when lower(publisher) like '%opensuse%' then 'openSUSE' when lower(publisher) like '%suse%' then 'SUSE'
+ when lower(publisher) like '%alpine%' then 'Alpine Linux' when lower(publisher) like '%amazon%' then 'Amazon' when lower(publisher) like '%rocky%' then 'Rocky Enterprise Software Foundation'
+ when lower(publisher) like '%alma%' then 'AlmaLinux' when lower(publisher) like '%centos%' then 'CentOS' end"""
 FP_SQL = f"""fp as (select distinct {_strip("coalesce(software, '')")} as software, {_strip("coalesce(publisher, '')")} as publisher, {_strip("coalesce(version, '')")} as version from fingerprints_raw)"""
 
 
@@ -299,9 +303,16 @@ def family_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lookup.family_lookup(images.package_fingerprints(spark, d), images.index(spark, d)).select("software", "publisher", "version", "id", "tier")
 
 
-@query(f"select id, {FAMILY_SQL.replace('publisher', 'fp_publisher')} as family, {VENDOR_SQL.replace('publisher', 'fp_publisher')} as vendor from software_info")
+def _published(spark: SparkSession, d: str) -> DataFrame:
+    """The publishers of the results, and every row of the index as published by a distribution of its family."""
+    own = table(spark, d, "software_info").select(F.concat(F.lit("s"), "id").alias("id"), F.col("fp_publisher").alias("publisher"))
+    return own.unionByName(table(spark, d, "packages_info").select(F.concat(F.lit("p"), "id").alias("id"), F.expr(images.DISTRIBUTED).alias("publisher")))
+
+
+@query(f"""with u as (select concat('s', id) as id, fp_publisher as publisher from software_info
+union all select concat('p', id), {images.DISTRIBUTED} from packages_info) select id, {FAMILY_SQL} as family, {VENDOR_SQL} as vendor from u""")
 def distribution_of_publisher(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "software_info").select("id", N.family(F.col("fp_publisher")).alias("family"), N.vendor(F.col("fp_publisher")).alias("vendor"))
+    return _published(spark, d).select("id", N.family(F.col("publisher")).alias("family"), N.vendor(F.col("publisher")).alias("vendor"))
 
 
 @query("""select i.software_id, a.package, a.srcname, a.homepage from (select id as software_id, fp_software from software_info) i
@@ -318,18 +329,12 @@ asked as (select distinct fp_software as package from software_info where fp_sof
 select asked.package, coalesce(act.source, arc.source) as source, coalesce(h1.homepage, h2.homepage) as homepage from asked
 left join act using (package) left join arc using (package) left join home h1 on h1.source = act.source left join home h2 on h2.source = arc.source""")
 def udd_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Binary package to source to homepage, in the active tables first, then in the archived ones."""
     info = table(spark, d, "packages_info")
-    act = table(spark, d, "alpine_packages").where("srcname is not null").groupBy("package").agg(F.min("srcname").alias("s1"))
-    arc = info.where("projectname_seed is not null").groupBy("package").agg(F.min("projectname_seed").alias("s2"))
-    home = info.where("homepage like 'http%' and projectname_seed is not null").groupBy("projectname_seed").agg(F.max("homepage").alias("h"))
-    asked = table(spark, d, "software_info").select(F.col("fp_software").alias("package")).where("package is not null").distinct()
-    return (
-        asked.join(act, "package", "left").join(arc, "package", "left")
-        .join(home.select(F.col("projectname_seed").alias("s1"), F.col("h").alias("h1")), "s1", "left")
-        .join(home.select(F.col("projectname_seed").alias("s2"), F.col("h").alias("h2")), "s2", "left")
-        .select("package", F.coalesce("s1", "s2").alias("source"), F.coalesce("h1", "h2").alias("homepage"))
-    )
+    homes = info.select(F.col("projectname_seed").alias("source"), "homepage").where("homepage like 'http%'")
+    active = table(spark, d, "alpine_packages").select("package", F.col("srcname").alias("source"))
+    archived = info.select("package", F.col("projectname_seed").alias("source"))
+    asked = table(spark, d, "software_info").select(F.col("fp_software").alias("package"))
+    return lookup.two_hops(asked, [(active, homes), (archived, homes)])
 
 
 # --- upserts -------------------------------------------------------------------------------------------------------

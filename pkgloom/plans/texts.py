@@ -14,7 +14,7 @@ from pkgloom.operators import identity
 from pkgloom.pipeline import recognise
 from pkgloom.plans import images
 from pkgloom.plans.relational import query
-from pkgloom.resolvers import projects
+from pkgloom.resolvers import packages, projects
 from pkgloom.sources.readers import rss_items
 
 PY = r"(?i)python([23]\d{0,2})[\s-]+([^\s-]\S*)"
@@ -244,3 +244,153 @@ def recognise_batch(spark: SparkSession, d: str) -> DataFrame:
     return recognise(
         raw, images.index(spark, d), table(spark, d, "alpine_packages"), table(spark, d, "cpe_entities"), table(spark, d, "licenses"), table(spark, d, "software_info")
     )
+
+
+# --- records of project services, over payloads made of the index rows ---------------------------------------------
+
+
+def _payload(spark: SparkSession, d: str, url: str, **bodies) -> DataFrame:
+    """Index rows as answers of a service: id, package, url, version, inherited, and the JSON bodies."""
+    rows = table(spark, d, "packages_info")
+    none = F.lit(None).cast("string")
+    return rows.select("id", "package", F.expr(url).alias("url"), "version", none.alias("inherited"), *[(none if b is None else F.to_json(F.expr(b))).alias(n) for n, b in bodies.items()])
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """A record with its lists as texts."""
+    return df.select(
+        "id", "software", "publisher", "homepage", "description", F.array_join("licenses", "|").alias("licenses"), F.array_join("software_alternative", "|").alias("software_alternative"),
+        F.array_join("publisher_alternative", "|").alias("publisher_alternative"), "release_version", "release_date",
+    )
+
+
+def _said(column: str) -> str:
+    """SQL for a member that is a text: '' for null and for what looks like a list or object."""
+    return rf"case when regexp_matches(coalesce({column}, ''), '^\s*[\[{{]') then '' else coalesce({column}, '') end"
+
+
+def _several(*names: str, apart: str) -> str:
+    """SQL for the distinct names of a list, sorted, without those that equal ``apart`` in any case."""
+    listed = f"list_filter([{', '.join(names)}], lambda n: n <> '' and lower(n) <> lower({apart}))"
+    return f"array_to_string(list_sort(list_filter({listed}, lambda n, i: not list_contains(list_transform(list_slice({listed}, i + 1, 9), lambda m: lower(m)), lower(n)))), '|')"
+
+
+_DAY, _VERSION = "strftime(observed_at, '%Y-%m-%d') as release_date", "coalesce(version, '') as release_version"
+_ONE_LICENSE = f"case when lower({_said('licenses[1]')}) like '%other%' then '' else {_said('licenses[1]')} end as licenses"
+
+
+@query(f"""with r as (select *, coalesce(family, 'x') as f, concat('https://github.com/', coalesce(family, 'x'), '/', package) as url from packages_info)
+select id, package as software, upper(f) as publisher, case when {_said('homepage')} = '' then url else {_said('homepage')} end as homepage,
+case when length({_said('description')}) >= 10 then {_said('description')} else '' end as description, {_ONE_LICENSE}, '' as software_alternative, '' as publisher_alternative, {_VERSION}, {_DAY} from r""")
+def resolve_github(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(
+        spark, d, "concat('https://github.com/', coalesce(family, 'x'), '/', package)",
+        project="struct(package as name, homepage, description, struct(get(licenses, 0) as name) as license)", owner="struct(upper(coalesce(family, 'x')) as name, coalesce(family, 'x') as login)",
+        readme=None, license=None, tag_commit="struct(struct(struct(date_format(observed_at, 'yyyy-MM-dd') as date) as committer) as commit)",
+    )
+    return _told(projects.github(rows, ["id"]))
+
+
+@query(f"""with r as (select *, coalesce(family, 'x') as f, concat('https://gitlab.example.org/', package) as url from packages_info)
+select id, upper(package) as software, concat('Team ', f) as publisher, case when {_said('homepage')} = '' then url else {_said('homepage')} end as homepage,
+case when length({_said('description')}) >= 10 then {_said('description')} else '' end as description, {_ONE_LICENSE}, '' as software_alternative, f as publisher_alternative, {_VERSION}, {_DAY} from r""")
+def resolve_gitlab(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(
+        spark, d, "concat('https://gitlab.example.org/', package)",
+        project="struct(upper(package) as name, package as path, struct(concat('Team ', coalesce(family, 'x')) as name, coalesce(family, 'x') as path) as namespace, homepage as web_url, description, struct(get(licenses, 0) as key) as license)",
+        readme=None, license_file=None, tag="struct(struct(date_format(observed_at, 'yyyy-MM-dd') as committed_date) as commit)",
+    )
+    return _told(projects.gitlab(rows, ["id"]))
+
+
+@query(f"""with r as (select *, concat('https://sourceforge.net/projects/', package) as url, list_sort([coalesce(family, 'x'), coalesce(repo, 'y')]) as people from packages_info)
+select id, package as software, concat(people[1], ', ', people[2]) as publisher, case when {_said('homepage')} <> '' and lower({_said('homepage')}) not like '%sourceforge%' then {_said('homepage')} else url end as homepage,
+{_said('description')} as description, coalesce(array_to_string(list_transform(licenses, lambda x: coalesce(x, '')), '|'), '') as licenses, '' as software_alternative, '' as publisher_alternative, {_VERSION}, {_DAY} from r""")
+def resolve_sourceforge(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(
+        spark, d, "concat('https://sourceforge.net/projects/', package)",
+        project="struct(package as name, upper(package) as shortname, array(named_struct('name', coalesce(family, 'x'), 'username', null), named_struct('name', null, 'username', coalesce(repo, 'y'))) as developers, "
+        "homepage as external_homepage, description as short_description, struct(transform(licenses, x -> struct(x as fullname)) as license) as categories)",
+    ).join(table(spark, d, "packages_info").select("id", F.date_format("observed_at", "yyyy-MM-dd").alias("release_date")), "id")
+    return _told(projects.sourceforge(rows, ["id"]))
+
+
+@query(f"""with r as (select *, {_said('description')} as abstract, case when coalesce(len(licenses), 0) = 0 then ['perl_5'] else list_transform(licenses, lambda x: coalesce(x, '')) end as listed from packages_info)
+select id, package as software, coalesce(family, 'CPAN') as publisher, concat('https://metacpan.org/dist/', package) as homepage,
+concat(package, ' is a distribution of Perl modules.', chr(10), 'The modules included are: ', package, ', Two.', case when abstract in ('', 'unknown') then '' else concat(chr(10), abstract) end) as description,
+array_to_string(list_transform(listed, lambda x: case when x = 'perl_5' then 'Artistic-1.0-Perl|GPL-1.0-or-later' else x end), '|') as licenses,
+{_several("concat('perl-', package)", "concat('lib', lower(package), '-perl')", "package", "'Two'", apart='package')} as software_alternative, '' as publisher_alternative, {_VERSION}, {_DAY} from r""")
+def resolve_metacpan(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(
+        spark, d, "concat('https://fastapi.metacpan.org/v1/release/', package)",
+        release="struct(package as distribution, family as author, transform(licenses, x -> coalesce(x, '')) as license, array(package, 'Two') as provides, version, date_format(observed_at, 'yyyy-MM-dd') as date, description as abstract)",
+        author=None, module=None,
+    )
+    return _told(projects.metacpan(rows, ["id"]))
+
+
+@query(rf"""with r as (select *, {_said('description')} as info, concat('https://rubygems.org/gems/', package) as url from packages_info),
+n as (select *, regexp_extract(info, concat('(?i)\b', regexp_replace(package, '([^\pL\p{{Nd}}])', '\\\1', 'g'), '\b')) as spelled from r),
+k as (select *, case when spelled = '' then package else spelled end as software from n)
+select id, software, coalesce(family, '') as publisher, coalesce(nullif({_said('homepage')}, ''), nullif({_said('project_url')}, ''), url) as homepage, info as description,
+coalesce(array_to_string(list_transform(licenses, lambda x: coalesce(x, '')), '|'), '') as licenses, concat('rubygem-', package) as software_alternative, '' as publisher_alternative, {_VERSION}, '' as release_date from k""")
+def resolve_rubygem(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(
+        spark, d, "concat('https://rubygems.org/gems/', package)",
+        gem="struct(package as name, description as info, family as authors, homepage as homepage_uri, project_url as project_uri, transform(licenses, x -> coalesce(x, '')) as licenses)",
+        source_publisher=None, source_description=None, source_release_date=None,
+    )
+    return _told(projects.rubygem(rows, ["id"]))
+
+
+@query("""select id, concat(upper(substr(package, 1, 1)), substr(package, 2)) as software, 'Red Hat' as publisher, concat('https://pagure.io/', package) as homepage, '' as description, '' as licenses,
+'' as software_alternative, '' as publisher_alternative, coalesce(version, '') as release_version, '' as release_date from packages_info where regexp_matches(package, '^[a-z]+$')""")
+def resolve_pagure(spark: SparkSession, d: str) -> DataFrame:
+    rows = _payload(spark, d, "concat('https://pagure.io/', package)").where("package rlike '^[a-z]+$'")
+    spec = F.lit(None).cast("struct<description:string,license:string>")
+    return _told(projects.pagure(rows.withColumn("spec", spec), ["id"]))
+
+
+# --- records of the distributions' own services --------------------------------------------------------------------
+
+@query("""with f as (select distinct package as software, coalesce(version, '') as version, projectname_seed as seed, case id % 3 when 0 then 'debian' when 1 then 'ubuntu' else 'arch' end as way, id,
+ case when homepage like 'http%' then homepage else '' end as home, coalesce(description, '') as description from packages_info where projectname_seed is not null),
+c as (select *, list_filter(range(1, length(seed) + 1), lambda i: starts_with(version, substr(seed, i)))[1] as k from f),
+m as (select *, case when k is null then seed else rtrim(substr(seed, 1, k - 1), ' -') end as cut from c)
+select id, case when way = 'arch' then seed when regexp_matches(lower(cut), '^lib(rary|ert|erat|ellous)') then cut else regexp_replace(cut, '(?i)^lib-?', '') end as name,
+ case way when 'debian' then 'Debian' when 'ubuntu' then 'Canonical' else 'Arch Linux' end as vendor, home as homepage,
+ case when home <> '' then home when way = 'ubuntu' then concat('https://launchpad.net/ubuntu/+source/', seed) when way = 'debian' then concat('https://tracker.example/', seed) else concat('https://archlinux.org/packages/?q=', seed) end as package_url,
+ case when way = 'arch' then description else '' end as description from m""")
+def own_records(spark: SparkSession, d: str) -> DataFrame:
+    """The index rows as answers of the services of three distributions, resolved into package records."""
+    home = F.when(F.col("homepage").like("http%"), F.col("homepage")).otherwise(F.lit(""))
+    rows = table(spark, d, "packages_info").where("projectname_seed is not null").select(
+        F.col("package").alias("software"), F.element_at(F.array(F.lit("Debian QA"), F.lit("Ubuntu Developers"), F.lit("Arch Linux")), (F.col("id") % 3 + 1).cast("int")).alias("publisher"),
+        F.coalesce("version", F.lit("")).alias("version"), "id", F.col("projectname_seed").alias("source"), home.alias("homepage"), F.coalesce("description", F.lit("")).alias("pkgdesc"),
+    )
+    keys = ["id", "software", "publisher", "version"]
+    debian = rows.select(*keys, "source", "homepage", F.concat(F.lit("https://tracker.example/"), "source").alias("tracker_url"))
+    arch = rows.select(
+        *keys, F.lit(0).alias("pos"), F.col("software").alias("pkgname"), F.col("source").alias("pkgbase"), F.nullif("homepage", F.lit("")).alias("url"), "pkgdesc",
+        F.array().cast("array<string>").alias("licenses"), F.concat(F.lit("https://archlinux.org/packages/?q="), "source").alias("page_url"), F.col("software").alias("raw"),
+    )
+    found = packages.own_records(rows, {"debian": debian, "ubuntu": debian, "arch": arch}, keys)
+    return found.select("id", "name", "vendor", "homepage", "package_url", "description")
+
+
+@query(r"""with v as (select p.id, u.k as place, u.x as identifier from (select id, licenses from packages_info where licenses is not null) p, lateral (select unnest(licenses) as x, generate_subscripts(licenses, 1) as k) u where u.x is not null),
+m as (select v.id, v.place, coalesce(l.name, v.identifier) as name, case when l.name is not null then 0 else 2 end as o from v left join licenses l using (identifier))
+select id, string_agg(name, '|' order by o, place) as names from m group by all""")
+def license_keep_unlisted(spark: SparkSession, d: str) -> DataFrame:
+    """Exact, then nearest (at no distance but 0, so that SQL can follow), then as it is."""
+    values = table(spark, d, "packages_info").select("id", F.posexplode("licenses").alias("at", "identifier"))
+    names, _ = identity.resolve_licenses(values, table(spark, d, "licenses"), ["id"], threshold=-1.0)
+    return names.select("id", F.array_join("names", "|").alias("names"))
+
+
+@query()
+def license_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Exact, then nearest within the distance, then as it is."""
+    values = table(spark, d, "packages_info").select("id", F.posexplode("licenses").alias("at", "identifier"))
+    names, _ = identity.resolve_licenses(values, table(spark, d, "licenses"), ["id"])
+    return names.select("id", F.array_join("names", "|").alias("names"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Characters of a text that a language model is given.
@@ -33,25 +33,24 @@ class FirstSentences:
         return [n for n in self.names if n.lower() in low]
 
 
-def define_texts(df: DataFrame, model: Callable[[], TextModel], text: str = "description", software: str = "software") -> DataFrame:
-    """``df`` with ``definition`` by the model, which each worker makes once."""
+def _told_by(df: DataFrame, model: Callable[[], TextModel], text: str, software: str, ask: Callable, kind: pa.DataType, name: str, sql: str) -> DataFrame:
     columns = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model()
         for batch in batches:
-            yield batch.assign(definition=[made.define(t or "", s or "") for t, s in zip(batch[text], batch[software], strict=True)])
+            said = zip(batch.column(text).to_pylist(), batch.column(software).to_pylist(), strict=True)
+            answers = pa.array([ask(made, t or "", s or "") for t, s in said], type=kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, answers], names=[*batch.schema.names, name])
 
-    return df.mapInPandas(work, f"{columns}, definition string")
+    return df.mapInArrow(work, f"{columns}, {name} {sql}")
 
 
-def extract_licenses(df: DataFrame, model: Callable[[], TextModel], text: str, software: str) -> DataFrame:
-    """``df`` with ``found_licenses`` by the model."""
-    columns = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+def define_texts(df: DataFrame, model: Callable[[], TextModel], text: str = "description", software: str = "software") -> DataFrame:
+    """``df`` with ``definition`` by the model, which each worker makes once."""
+    return _told_by(df, model, text, software, lambda made, t, s: made.define(t, s), pa.string(), "definition", "string")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = model()
-        for batch in batches:
-            yield batch.assign(found_licenses=[made.licenses(t or "", s or "") for t, s in zip(batch[text], batch[software], strict=True)])
 
-    return df.mapInPandas(work, f"{columns}, found_licenses array<string>")
+def extract_licenses(df: DataFrame, model: Callable[[], TextModel], text: str, software: str) -> DataFrame:
+    """``df`` with ``found_licenses`` by the model."""
+    return _told_by(df, model, text, software, lambda made, t, s: made.licenses(t, s), pa.list_(pa.string()), "found_licenses", "array<string>")

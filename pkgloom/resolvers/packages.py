@@ -24,12 +24,13 @@ def record(df: DataFrame, keys: list[str], **values: Column) -> DataFrame:
     return df.select(*keys, *[(out[f] if f == "licenses" else filled(out[f])).alias(f) for f in FIELDS])
 
 
-def from_index(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Universal record of rows found in the package index (software, publisher, version and the index columns)."""
+def from_index(found: DataFrame, keys: list[str], own_records: bool = False) -> DataFrame:
+    """Universal record of rows found in the package index (software, publisher, version and the index columns). With
+    ``own_records`` the vendor is that of the distribution's own package records."""
     name = N.without_version_suffix(F.coalesce("projectname_seed", "software"), F.col("version"))
     home = F.coalesce(F.nullif("homepage", F.lit("")), "project_url")
     return record(
-        found, keys, name=name, vendor=N.vendor(F.col("publisher")), homepage=home, package_url=F.coalesce(home, "package_url"),
+        found, keys, name=name, vendor=(N.record_vendor if own_records else N.vendor)(F.col("publisher")), homepage=home, package_url=F.coalesce(home, "package_url"),
         description=F.col("description"), licenses=F.coalesce("licenses", F.array().cast("array<string>")),
     )
 
@@ -91,10 +92,33 @@ def arch(results: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def first_way(keys: list[str], *ways: DataFrame) -> DataFrame:
+#: What a distribution's own tables of answers must hold beside the key software, publisher, version.
+OWN_WAYS = {"debian": debian, "ubuntu": lambda found, keys: debian(found, keys, ubuntu=True), "fedora": fedora, "opensuse": lambda found, keys: fedora(found, keys, "OpenSuse"), "arch": arch}
+#: Which of these a publisher's distribution takes.
+OWN_WAY_OF = {"debian": "debian", "ubuntu": "ubuntu", "fedora": "fedora", "red hat": "fedora", "amazon": "fedora", "opensuse": "opensuse", "suse": "opensuse", "arch": "arch"}
+
+
+def own_records(fingerprints: DataFrame, answers: dict[str, DataFrame], keys: list[str]) -> DataFrame | None:
+    """Records out of the answers of the distributions' own services, ``answers``: name in OWN_WAYS -> table with the key and
+    the columns that the record takes. Null without any answers."""
+    united = None
+    way = F.lit(None).cast("string")
+    for name, taken in OWN_WAY_OF.items():
+        way = F.when(N.distribution(F.col("publisher")) == name, F.lit(taken)).otherwise(way)
+    asked = fingerprints.select(*keys).withColumn("way_", way)
+    for name, table in answers.items():
+        mine = asked.where(F.col("way_") == name).drop("way_").join(table, keys)
+        one = OWN_WAYS[name](mine, keys).select(*keys, *FIELDS)
+        united = one if united is None else united.unionByName(one)
+    return united
+
+
+def first_way(keys: list[str], *ways: DataFrame | None) -> DataFrame:
     """Of several ways in order of priority, per key the first with an address."""
     united = None
     for k, way in enumerate(ways):
+        if way is None:
+            continue
         one = way.select(*keys, *FIELDS).withColumn("way", F.lit(k))
         united = one if united is None else united.unionByName(one)
     return best_of(united.where("package_url <> ''"), keys, [F.col("way"), F.col("name"), F.col("package_url")])

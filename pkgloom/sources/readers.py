@@ -74,12 +74,16 @@ def spdx_json(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+ITEMS = "array<struct<title:string,pubDate:string>>"
+
+
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
-    """One row per feed item that has a title: pos, title, published."""
-    titles, dates = F.xpath(body, F.lit("//item[title]/title/text()")), F.xpath(body, F.lit("//item[title]/pubDate/text()"))
-    return feeds.select(*[c for c in feeds.columns if c != body], F.posexplode(F.arrays_zip(titles.alias("title"), dates.alias("published"))).alias("pos", "i")).select(
-        *[c for c in feeds.columns if c != body], "pos", "i.title", "i.published"
-    )
+    """One row per feed item that has a title: pos, title, published (null where the item has no date of its own)."""
+    feed = F.from_xml(F.col(body), f"channel struct<item:{ITEMS}>, item {ITEMS}")
+    none = F.from_json(F.lit("[]"), ITEMS)
+    items = F.filter(F.concat(F.coalesce(feed["channel"]["item"], none), F.coalesce(feed["item"], none)), lambda i: i["title"].isNotNull())
+    kept = [c for c in feeds.columns if c != body]
+    return feeds.select(*kept, F.posexplode(items).alias("pos", "i")).select(*kept, "pos", F.col("i.title").alias("title"), F.col("i.pubDate").alias("published"))
 
 
 def payloads(asked: DataFrame, answers: DataFrame) -> DataFrame:

@@ -177,6 +177,75 @@ def test_recognise(spark, folder):
     assert recognise(raw.where("false"), index, *tables).count() == 0
 
 
+def sample(spark, **rows):
+    empty = {
+        "index": "package string, projectname_seed string, family string, description string, licenses array<string>, index_version string, homepage string, project_url string, package_url string, id bigint",
+        "alpine": "package string, srcname string, homepage string, description string, licenses string", "cpe": "id bigint, publisher string, product string, version string",
+        "licenses": "identifier string, name string, osi_approved boolean", "stored": "fp_software string, fp_publisher string, fp_version string",
+    }
+    return [spark.createDataFrame(rows.get(k, []), v) for k, v in empty.items()]
+
+
+def test_every_way_of_recognition(spark):
+    raw = spark.createDataFrame(
+        [("python3-idle", "Debian", "3.11"), ("python3-defused", "Debian", "0.7"), ("perl-Class-Singleton", "Fedora Project", "1.5"), ("ruby-pg", "Ubuntu Developers", "1.5"), ("cham", "Debian", "4.4"), ("zlib", "Alpine Linux", "1.3"),
+         ("aptlike", "Ubuntu Developers", "2.0"), ("mailer", "Fedora Project", "1.0"), ("archtool", "Arch Linux", "5"), ("nowhere", "Debian", "1"), ("lost", "CentOS", "1"), ("gone", "Debian", "1")],
+        "software string, publisher string, version string",
+    )
+    ix = lambda i, p, fam, home, url=None, about=None: (p, p, fam, about, ["MIT"], "1.0", home, None, url, i)
+    tables = sample(
+        spark, index=[ix(1, "cham", "debuntu", "https://github.com/malthe/chameleon/tree/main"), ix(2, "lost", "centos", None, "https://pkgs.example/lost"), ix(3, "gone", "debuntu", "https://pypi.org/project/gone")],
+        alpine=[("zlib", "zlib", "https://zlib.example", "Compression", "Zlib")], cpe=[(1, "zlib_team", "zlib", "1.3.1")], licenses=[("MIT", "MIT License", True), ("Zlib", "zlib License", True), ("BSD-3-Clause", "BSD 3", True)],
+    )
+    pypi = json.dumps({"info": {"name": "Defused", "author": "Tiran", "summary": "Guards.", "license": "MIT"}, "releases": {"0.7": [{"upload_time": "2021-03-04T10:00:00"}]}})
+    hub = {"name": "Chameleon", "description": "A template engine", "license": {"name": "BSD-3-Clause "}}
+    payloads = {
+        "pypi": spark.createDataFrame([("https://pypi.org/project/defused", pypi), ("https://pypi.org/project/gone", None)], "url string, project string"),
+        "metacpan": spark.createDataFrame([("https://fastapi.metacpan.org/v1/release/Class-Singleton", json.dumps({"distribution": "Class-Singleton", "author": "SHAY", "license": ["perl_5"]}), None, None)], "url string, release string, author string, module string"),
+        "rubygem": spark.createDataFrame([("https://rubygems.org/api/v1/search.json?query=pg", json.dumps({"name": "pg", "info": "Pg", "authors": "Michael"}), None, None, None)], "url string, gem string, source_publisher string, source_description string, source_release_date string"),
+        "github": spark.createDataFrame([("https://github.com/malthe/chameleon", json.dumps(hub), json.dumps({"name": "Malthe"}), None, None, None)], "url string, project string, owner string, readme string, license string, tag_commit string"),
+    }
+    spec = "name string, url string, description string, license string, macros map<string,string>"
+    answers = {
+        "ubuntu": spark.createDataFrame([("aptlike", "Ubuntu Developers", "2.0", "libaptlike2.0", None, None)], "software string, publisher string, version string, source string, homepage string, tracker_url string"),
+        "fedora": spark.createDataFrame([("mailer", "Fedora Project", "1.0", ("mailer", "https://mailer.example", "Sends mail", "MIT", {}), None, "https://page")], f"software string, publisher string, version string, spec struct<{spec.replace(' string', ':string').replace(' map', ':map')}>, spec_url string, page_url string"),
+        "arch": spark.createDataFrame([("archtool", "Arch Linux", "5", 0, "archtool", "archtool", "https://arch.example", "A tool", ["BSD-3-Clause"], "p", "archtool")], "software string, publisher string, version string, pos int, pkgname string, pkgbase string, url string, pkgdesc string, licenses array<string>, page_url string, raw string"),
+    }
+    pages = spark.createDataFrame([("https://github.com/none", "x", "y")], "url string, final_url string, text string")
+    got = {r.fp_software: r for r in recognise(raw, *tables, payloads=payloads, answers=answers, pages=pages, model=lambda: FirstSentences(["MIT License"])).collect()}
+    assert set(got) == {"python3-idle", "python3-defused", "perl-Class-Singleton", "ruby-pg", "cham", "zlib", "aptlike", "mailer", "archtool", "lost"}
+    tell = {k: (r.software, r.publisher, r.homepage, r.licenses, r.release_date) for k, r in got.items()}
+    assert tell["python3-defused"] == ("Defused", "Tiran", "https://pypi.org/project/defused", ["MIT License"], "2021-03-04")
+    assert tell["perl-Class-Singleton"][:2] == ("Class-Singleton", "SHAY") and tell["ruby-pg"][:2] == ("Pg", "Michael")
+    assert tell["cham"] == ("Chameleon", "Malthe", "https://github.com/malthe/chameleon", ["BSD 3"], "")
+    assert tell["zlib"] == ("zlib", "Zlib Team", "https://zlib.example", ["zlib License"], "") and got["zlib"].cpe_string == "cpe:2.3:a:zlib_team:zlib:"
+    assert tell["aptlike"] == ("aptlike", "Canonical", "https://launchpad.net/ubuntu/+source/libaptlike2.0", [], "")
+    assert tell["mailer"] == ("mailer", "mailer", "https://mailer.example", ["MIT License"], "") and tell["archtool"][:3] == ("archtool", "archtool", "https://arch.example")
+    assert tell["lost"] == ("lost", "CentOS", "https://pkgs.example/lost", ["MIT License"], "")
+    assert (got["python3-idle"].licenses, got["python3-idle"].unspsc, got["python3-idle"].publisher_alternative) == (["Python Software Foundation License"], "43232311", ["Python"])
+
+
+def test_license_fallback(spark):
+    licenses = spark.createDataFrame([("Foo-2.0-or-later", "Foo License 2", True), ("Bar-1", "Bar License", True), (None, "Nameless", None)], "identifier string, name string, osi_approved boolean")
+    values = spark.createDataFrame([(1, 0, "Qux"), (1, 1, "Foo-2.0-or-later"), (1, 2, "foo-2.0-or-LATER"), (1, 3, "Bar-1"), (2, 0, None), (3, 0, ""), (3, 1, "Qux")], "id int, at int, identifier string")
+    names, kept = identity.resolve_licenses(values, licenses, ["id"])
+    assert {r.id: r.names for r in names.collect()} == {1: ["Foo License 2", "Bar License", "Foo License 2", "Qux"], 3: ["", "Qux"]}
+    assert {r.identifier for r in kept.collect()} == {"Qux", ""}
+    names, kept = identity.resolve_licenses(values.where("false"), licenses, ["id"])
+    assert names.count() == 0 and kept.count() == 0
+
+
+def test_vendors(spark):
+    df = spark.createDataFrame([("Ubuntu Developers",), ("openSUSE",), ("Rocky",), ("Arch Linux",), ("Red Hat",), (None,)], "p string")
+    from pkgloom.functions import names as N
+
+    assert [tuple(r) for r in df.select(N.vendor(F.col("p")), N.record_vendor(F.col("p"))).collect()] == [
+        ("Ubuntu", "Canonical"), ("openSUSE", "OpenSuse"), ("Rocky Enterprise Software Foundation", "Rocky Enterprise Software Foundation"), (None, "Arch Linux"), ("Red Hat", "Fedora"), (None, None)
+    ]
+    pages = spark.createDataFrame([("foo-x", "https://x/foo", ""), ("ab-c", "https://q", "ab and c"), ("ab-c", "https://ab", "c only"), ("foo", "https://bar", "none")], "p string, u string, t string")
+    assert [r[0] for r in pages.select(N.related_page(F.col("p"), F.col("u"), F.col("t"))).collect()] == [True, True, False, False]
+
+
 def test_providers(spark):
     df = spark.createDataFrame([("One. Two! Three.", "x"), (None, None)], "description string, software string")
     assert {r.definition for r in define_texts(df, FirstSentences).collect()} == {"One. Two!", ""}

@@ -40,6 +40,9 @@ def test_rss_and_payloads(spark):
     feed = "<rss><channel><item><title>a 1.0</title><pubDate>Mon, 02 Jan 2006 10:00</pubDate></item><item><title>a 2.0</title><pubDate>x</pubDate></item></channel></rss>"
     df = spark.createDataFrame([(1, feed)], "id int, body string")
     assert [(r.pos, r.title) for r in readers.rss_items(df).collect()] == [(0, "a 1.0"), (1, "a 2.0")]
+    gap = "<rss><channel><item><title>a</title></item><item><title>b</title><pubDate>2 Jan</pubDate></item><item><pubDate>3 Jan</pubDate></item></channel></rss>"
+    rows = readers.rss_items(spark.createDataFrame([(1, gap), (2, None), (3, "<rss/>"), (4, "no feed")], "id int, body string")).collect()
+    assert [(r.id, r.pos, r.title, r.published) for r in rows] == [(1, 0, "a", None), (1, 1, "b", "2 Jan")]
     asked = spark.createDataFrame([("u",), ("v",)], "url string")
     answers = spark.createDataFrame([("u", 200, "ok"), ("v", 404, "no")], "url string, status int, body string")
     assert {tuple(r) for r in readers.payloads(asked, answers).collect()} == {("u", "ok"), ("v", None)}
