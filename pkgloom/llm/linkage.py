@@ -18,6 +18,7 @@ product, its hint or its alternative names single out one publisher; ties are se
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
@@ -81,8 +82,22 @@ def spells(words: tuple[str, ...], text: str, edits: int) -> bool:
     return False
 
 
+@functools.lru_cache(maxsize=100_000)
+def shape(product: str) -> tuple[int, int]:
+    """The number of characters but blanks, and which they are, as bits (of their code point modulo 61)."""
+    letters = product.replace(" ", "")
+    mask = 0
+    for c in set(letters):
+        mask |= 1 << ord(c) % 61
+    return len(letters), mask
+
+
 def product_similarity(a: str, b: str) -> float:
     """1 for the same words in any order, less for joined words and typing errors, 0 for different products."""
+    (many, mine), (more, others) = shape(a), shape(b)
+    # two edits change the length by two at most, and bring in or take away two characters each
+    if not -2 <= many - more <= 2 or (mine & ~others).bit_count() > 2 or (others & ~mine).bit_count() > 2:
+        return 0.0
     x, y = a.split(), b.split()
     if sorted(x) == sorted(y):
         return 1.0
@@ -182,12 +197,12 @@ def weighted(a: dict, b: dict) -> float:
     that begin with the product have no publisher and are compared by the product alone."""
     if a["sorting"] != b["sorting"]:
         return 0.0
-    publisher = publisher_similarity(a["entity"], b["entity"])
-    if publisher < PUBLISHER_LEAST:
-        return 0.0
     product = product_similarity(a["product"], b["product"])
     if product < PRODUCT_LEAST:
         return 0.0
+    publisher = publisher_similarity(a["entity"], b["entity"])
+    if publisher < PUBLISHER_LEAST:
+        return 0.0
     return (PUBLISHER_WEIGHT * publisher + PRODUCT_WEIGHT * product) / (PUBLISHER_WEIGHT + PRODUCT_WEIGHT) if publisher < 1 else product
 
 
@@ -355,7 +370,7 @@ def products_of(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     counts = forms.select("form", F.col("n").cast("bigint").alias("n"))
     same = F.substring("form_a", 1, 1) == F.substring("form_b", 1, 1)
     sided = pairs.where(same).join(counts.select(F.col("form").alias("form_a"), "n"), "form_a").join(counts.select(F.col("form").alias("form_b"), F.col("n").alias("m")), "form_b")
-    star = stars(sided.select(F.col("form_a").alias("node"), F.col("form_b").alias("ahead"), "n", "m", F.col("similarity").alias("s")))
+    star = stars(cut(sided.select(F.col("form_a").alias("node"), F.col("form_b").alias("ahead"), "n", "m", F.col("similarity").alias("s"))))
     center = cut(counts.join(star.withColumnRenamed("node", "form"), "form", "left").select("form", F.coalesce("center", "form").alias("center")))
     crossed = pairs.where(~same).select(
         F.when(F.startswith("form_a", F.lit("c")), F.col("form_a")).otherwise(F.col("form_b")).alias("c"), F.when(F.startswith("form_a", F.lit("c")), F.col("form_b")).otherwise(F.col("form_a")).alias("s"), "similarity"

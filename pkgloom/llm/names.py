@@ -241,8 +241,9 @@ def stars(pairs: DataFrame) -> DataFrame:
     of a graph: star clusters. Nodes of a heavier class (powers of WEIGHT_CLASS, so that chance does not rank rare ones) go first,
     in a class those with more edges, then the heavier, then the first in spelling. A node is a centre when none of those
     ahead of it is one; any other belongs to the first of the centres that it has an edge to. Rounds run until every node is
-    settled, however long the chains are. Where the pairs have a similarity ``s``, the most similar centre comes first."""
-    pairs = cut(pairs.withColumn("s", F.col("s") if "s" in pairs.columns else F.lit(1.0)).select("node", "ahead", "n", "m", "s"))
+    settled, however long the chains are. Where the pairs have a similarity ``s``, the most similar centre comes first. ``pairs``
+    are read several times, so they should be stored."""
+    pairs = pairs.withColumn("s", F.col("s") if "s" in pairs.columns else F.lit(1.0)).select("node", "ahead", "n", "m", "s")
     edges_of = pairs.select(F.explode(F.array("node", "ahead")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     both = pairs.join(edges_of, "node").join(edges_of.select(F.col("node").alias("ahead"), F.col("degree").alias("d2")), "ahead")
 
@@ -362,7 +363,7 @@ def given_stars(parts_of: DataFrame, close: DataFrame) -> DataFrame:
     # one word of a given part within a longer word of another
     inner = words.where("length(word) >= 5").select(F.col("node").alias("ahead"), F.col("n").alias("m"), "family", F.explode(F.array_distinct(parts_within(F.col("word")))).alias("word"))
     within = _turned(words.where("length(word) >= 3").join(inner, ["family", "word"]).where("node <> ahead"))
-    pairs = met.unionByName(near).unionByName(within).distinct().mapInPandas(_verify_given, "node string, ahead string, n bigint, m bigint")
+    pairs = cut(met.unionByName(near).unionByName(within).distinct().mapInPandas(_verify_given, "node string, ahead string, n bigint, m bigint"))
     star = stars(pairs)
     given = F.regexp_extract("center", "\x01(.*)$", 1)
     settled = rest.join(star, "node", "left").select("family", "given", "n", F.when(F.col("center").isNull(), F.col("given")).otherwise(given).alias("center"))
