@@ -1,11 +1,11 @@
 """Find evaluation passages inside a corpus with an FM-index per shard of the corpus.
 
-A shard is a batch of texts as word numbers of the evaluation vocabulary. Stretches without any four words in a row
-from the evaluation set cannot belong to a run and are dropped beforehand (a run of eight words with one of them
-changed still holds four that agree). Over the rest an FM-index is built: suffix array, Burrows-Wheeler
+A shard is up to SHARD characters of texts as word numbers of the evaluation vocabulary. Words that no item holds end a
+stretch, and a stretch of fewer than four words cannot hold a phrase; all others are indexed: suffix array, Burrows-Wheeler
 transform, a wavelet matrix for ranks, sampled suffix positions. All four-word phrases of the items are searched
-backwards at once, located through the samples, and chained along equal offsets into runs, one changed word allowed
-between phrases; runs of eight words or more are merged into removal spans per text and item.
+backwards at once, located through the samples, chained along equal offsets, and every chain is drawn out on both sides over
+equal words and single changed ones, as far as they go. Runs of eight words or more are merged into removal
+spans per text and item.
 
 Notices are phrases that three or more items share, or that stand in at least NOTICE_SHARE of all texts; they count
 for nothing. Statistics run over all texts and all items, each distinct one (by its words) counted once.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ NOTICE_SHARE, NOTICE_LEAST, NOTICE_ITEMS = 0.02, 15, 3
 BLOCK = 20_000
 #: Every so many suffix positions are kept; also the first word of each stretch.
 SAMPLE = 8
-#: Size of the filter of four-word phrases (a power of two).
-FILTER = 1 << 24
+#: Characters of texts that one index holds.
+SHARD = 4_000_000
 
 MARKUP = re.compile(r"<[^<>\n\x00]{1,120}>|&#?\w{1,8};")
 WORDS = re.compile(r"[^\W_]+|\x00")
@@ -135,17 +136,6 @@ class FMIndex:
         return self.positions[self.at_sample[rows]] + walked
 
 
-def _hash(ids: np.ndarray) -> np.ndarray:
-    """Filter slot of the four words that begin at each place."""
-    h = ids[:-3].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for k in (1, 2, 3):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - 3 + k].astype(np.uint64)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - 24)).astype(np.int64)
-
-
 class ItemSet:
     """The evaluation items (id, text, places of shared phrases) as word numbers, their distinct four-word phrases and where these stand."""
 
@@ -173,43 +163,49 @@ class ItemSet:
         order = np.argsort(inverse, kind="stable")
         self.where = np.array(where, dtype=np.int64).reshape(-1, 2)[order]
         self.offsets = np.searchsorted(inverse[order], np.arange(len(self.patterns) + 1))
-        self.filter = np.zeros(FILTER, dtype=bool)
-        for g in self.patterns:
-            self.filter[_hash(g)] = True
-
-
-def _stretches(ids: np.ndarray, items: ItemSet) -> np.ndarray:
-    """Places that may belong to a run: covered by phrases of the filter, gaps of one closed, eight or more long."""
-    n = len(ids)
-    covered = np.zeros(n + 1, dtype=np.int32)
-    if n >= GRAM:
-        hit = np.flatnonzero(items.filter[_hash(ids)])
-        hit = hit[(ids[hit] > 0) & (ids[hit + 1] > 0) & (ids[hit + 2] > 0) & (ids[hit + 3] > 0)]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + GRAM, -1)
-    keep = np.cumsum(covered[:-1]) > 0
-    inner = np.zeros(n, dtype=bool)
-    inner[1:-1] = keep[:-2] & keep[2:] & (ids[1:-1] >= 0)  # never across a text's end
-    keep |= inner
-    edge = np.diff(np.concatenate([[0], keep.astype(np.int8), [0]]))
+        # all items in a row, ends and shared words as -2, which no text holds: a run is not drawn out across them
+        padded = [np.full(2, -2)]
+        for ids, shared in zip(self.numbers, self.shared, strict=True):
+            padded += [np.where(shared, -2, ids), np.full(2, -2)]
+        self.flat = np.concatenate(padded)
+        self.start = np.concatenate([[0], np.cumsum(self.lengths + 2)])[:-1] + 2
+
+
+def _known_stretches(ids: np.ndarray) -> np.ndarray:
+    """Places of the words in stretches of four or more words of the evaluation vocabulary."""
+    edge = np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    short = end - start < RUN
-    drop = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(drop, start[short], 1)
-    np.add.at(drop, end[short], -1)
-    return keep & ~(np.cumsum(drop[:-1]) > 0)
+    long = end - start >= GRAM
+    start, size = start[long], (end - start)[long]
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+
+
+def _drawn_out(text: np.ndarray, at: np.ndarray, flat: np.ndarray, word: np.ndarray, step: int) -> np.ndarray:
+    """How far runs go on from the words at ``at`` of the text and ``word`` of the items, which are equal, in steps of +1 or
+    -1: over equal words, and over a single changed one that an equal one follows."""
+    far = np.zeros(len(at), dtype=np.int64)
+    live = np.arange(len(at))
+    while len(live):
+        t, w = at[live] + step * (far[live] + 1), word[live] + step * (far[live] + 1)
+        equal = text[t] == flat[w]
+        bridged = ~equal & (text[t] != -1) & (flat[w] != -2)
+        t2, w2 = np.where(bridged, t + step, t), np.where(bridged, w + step, w)
+        bridged &= text[t2] == flat[w2]
+        far[live] += np.where(equal, 1, np.where(bridged, 2, 0))
+        live = live[equal | bridged]
+    return far
 
 
 def _runs(ids: np.ndarray, items: ItemSet) -> np.ndarray:
     """Rows (place in ids, item, first word, end word) of the runs of one shard; ids has -1 between texts."""
-    keep = np.flatnonzero(_stretches(ids, items))
+    keep = _known_stretches(ids)
     none = np.zeros((0, 4), dtype=np.int64)
     if not len(keep):
         return none
     jump = np.concatenate([[0], (np.diff(keep) > 1).astype(np.int64)])
     place = np.arange(len(keep)) + np.cumsum(jump)  # one separator between stretches
     seq = np.zeros(place[-1] + 2, dtype=np.int64)
-    seq[place] = np.maximum(ids[keep], 0)
+    seq[place] = ids[keep]
     original = np.zeros(len(seq), dtype=np.int64)
     original[place] = keep
     index = FMIndex(seq, items.size)
@@ -232,10 +228,13 @@ def _runs(ids: np.ndarray, items: ItemSet) -> np.ndarray:
     cutoff[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (np.diff(word) > GRAM + 1)
     begin = np.flatnonzero(cutoff)
     last = np.concatenate([begin[1:], [len(item)]]) - 1
-    first, end = word[begin], word[last] + GRAM
+    item, shift, first, end = item[begin], shift[begin], word[begin], word[last] + GRAM
+    text = np.concatenate([np.full(2, -1), ids, np.full(2, -1)])
+    back = _drawn_out(text, first + shift + 2, items.flat, first + items.start[item], -1)
+    on = _drawn_out(text, end - 1 + shift + 2, items.flat, end - 1 + items.start[item], 1)
+    first, end = first - back, end + on
     long = end - first >= RUN
-    begin, first, end = begin[long], first[long], end[long]
-    return np.stack([first + shift[begin], item[begin], first, end], axis=1)
+    return np.unique(np.stack([first + shift, item, first, end], axis=1)[long], axis=0)
 
 
 def _phrases(text: pd.Series) -> pd.DataFrame:
@@ -258,15 +257,26 @@ def shared_phrases(items: DataFrame) -> DataFrame:
     return cut(keyed.drop("phrases").join(places, "spelled", "left").select("item_id", "text", "shared"))
 
 
+#: The prepared items of this worker process.
+_PREPARED: dict[str, ItemSet] = {}
+
+
 def find_runs(docs: DataFrame, items: list[tuple[int, str, list[int]]]) -> DataFrame:
     """(doc_id, spelled, item, starts, ends, places): per text and item number the item's word ranges found and the word of
     the text where each begins; spelled is the digest of the text's words. The digest of every text also comes once
     per batch in a row without item."""
 
     names = ["doc_id", "spelled", "item", "starts", "ends", "places"]
+    carried = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK items
+    mark = uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ItemSet(items)
+        from pkgloom.llm.leakage import _PREPARED as prepared  # the worker's own, not a copy that came with this function
+
+        if mark not in prepared:
+            prepared.clear()
+            prepared[mark] = ItemSet(carried.value)
+        known = prepared[mark]
         lookup = known.vocabulary | {"\x00": -1}
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -274,31 +284,33 @@ def find_runs(docs: DataFrame, items: list[tuple[int, str, list[int]]]) -> DataF
             for t in texts:
                 held.append(t.replace("\x00", " "))
                 size += len(t)
-                if size > 2_000_000:
+                if size > SHARD:
                     parts.append("\x00".join([*held, ""]))
                     held, size = [], 0
             if held:
                 parts.append("\x00".join([*held, ""]))
-            numbers, spelled = [], []
+            numbers, spelled, found, at = [], [], [], 0
             for text in parts:
                 text = text.lower()
                 if "<" in text or "&" in text:
                     text = MARKUP.sub(" ", text)
                 words = WORDS.findall(text)
-                numbers.append(np.fromiter((lookup.get(w, 0) for w in words), dtype=np.int64, count=len(words)))
+                ids = np.fromiter((lookup.get(w, 0) for w in words), dtype=np.int64, count=len(words))
                 start = 0
-                for end in np.flatnonzero(numbers[-1] == -1):
+                for end in np.flatnonzero(ids == -1):
                     spelled.append(digest(words[start:end]))
                     start = end + 1
+                found.append(_runs(ids, known) + np.array([at, 0, 0, 0]))
+                numbers.append(ids == -1)
+                at += len(ids)
             every = list(set(spelled))
             if every:
                 none, lists = pa.nulls(len(every), pa.int64()), pa.nulls(len(every), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([none, pa.array(every, type=pa.int64()), none, lists, lists, lists], names=names)
-            ids = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-            found = _runs(ids, known)
+            found = np.concatenate([*found, np.zeros((0, 4), dtype=np.int64)])
             if not len(found):
                 continue
-            ends = np.flatnonzero(ids == -1)
+            ends = np.flatnonzero(np.concatenate(numbers))
             doc = np.searchsorted(ends, found[:, 0])
             start = np.concatenate([[0], ends + 1])[doc]
             frame = pd.DataFrame(

@@ -29,14 +29,14 @@ def brute(docs, items):
             got = set()
             for shift in range(-len(v), len(w)):
                 same = [0 <= p + shift < len(w) and w[p + shift] == v[p] for p in range(len(v))]
-                grams = [p for p in range(len(v) - 3) if all(same[p : p + 4])]
-                run = []
-                for p in [*grams, 10**9]:
-                    if run and p - run[-1] > 5:
-                        if run[-1] + 4 - run[0] >= 8:
-                            got |= set(range(run[0], run[-1] + 4))
-                        run = []
-                    run.append(p)
+                for p in range(len(v)):  # the longest run from p on, if p begins one
+                    if not same[p] or any(same[q] for q in (p - 1, p - 2) if q >= 0):
+                        continue
+                    end = p + 1
+                    while end < len(v) and (same[end] or end + 1 < len(v) and same[end + 1] and end + shift < len(w)):
+                        end += 1 if same[end] else 2
+                    if end - p >= 8 and any(all(same[q : q + 4]) for q in range(p, end - 3)):
+                        got |= set(range(p, end))
             if v and len(got) / len(v) >= 1 / 3:
                 out.add((d, i))
     return out
@@ -85,6 +85,22 @@ def test_blocks_and_notices(spark, monkeypatch):
     assert L.leaks(df.where("false"), it)[0].count() == 0 and L.leaks(df, it.where("false"))[0].count() == 0
 
 
+def test_run_beyond_a_changed_word(spark):
+    item = [f"q{k}" for k in range(20)]
+    texts = {1: item[:3] + ["x"] + item[4:9], 2: item[:3] + ["x", "y"] + item[5:9], 3: item[:2] + ["x"] + item[3:5] + ["y"] + item[6:8], 4: [*item[:3], "x", item[4], "y", *item[6:10]]}
+    df = spark.createDataFrame([(k, " ".join(["a", *v, "b"])) for k, v in texts.items()], "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    assert {(r.doc_id, r.share) for r in L.leaks(df, it)[0].collect()} == {(1, 0.45), (4, 0.5)}
+
+
+def test_many_shards(spark, monkeypatch):
+    docs, items = build(9)
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = [{tuple(r) for r in f.collect()} for f in L.leaks(df, it)]
+    monkeypatch.setattr(L, "SHARD", 700)
+    assert [{tuple(r) for r in f.collect()} for f in L.leaks(df, it)] == whole and whole[0]
+
+
 def test_very_long_text(spark):
     rnd = random.Random(1)
     item = " ".join(f"q{k}" for k in range(30))
