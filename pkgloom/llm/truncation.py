@@ -37,22 +37,19 @@ PILE_SPAN = 64
 MARKS = r"(?:\(more\)?|\[(?:\.\.\.|…)\]|&(?:h(?:e(?:l(?:l(?:i(?:p;?)?)?)?)?)?|#\d*|amp|lt|gt|nbsp|raquo)|(?<=\S)<|�+|(?<=\p{L})-)$"
 MARKED = re.compile(MARKS.replace(r"\p{L}", r"[^\W\d_]") + "|(?:…|\\.\\.\\.)$")
 WORD = r"\p{L}+"
+BLANKS = "\t\n\x0b\x0c\r \u00a0"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: What ends a sentence or line: a closing sign before a blank, or a line break before anything but a small letter.
 BORDER = re.compile(r"[.?!:]\s|\n(?=[^a-z])")
 LAST = re.compile(r"([^\W\d_]+)[)`\"]?$")
 
 
-def _ending(text: Column) -> Column:
-    """The last 200 characters, which hold the last line's end; lengths are judged on the whole text."""
-    return F.rtrim(F.regexp_replace(F.substring(text, -200, 200), r"[\s ]+$", ""))
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n, tail, word, ...) of every text."""
-    tail = _ending(F.col("text"))
-    marked = F.regexp_extract(tail, MARKS, 0)
-    body = F.regexp_replace(F.regexp_replace(tail, MARKS, ""), r"\s+$", "")
+    """(doc_id, source, n, word, last_line, ...) of every text. Whole lines are judged: the last one, and for marks and
+    signatures the three before it, however long they are."""
+    ending = F.substring_index(F.rtrim("text", F.lit(BLANKS)), "\n", -4)
+    marked = F.regexp_extract(F.substring_index(ending, "\n", -1), MARKS, 0)
+    body = F.rtrim(F.regexp_replace(ending, MARKS, ""), F.lit(BLANKS))
     dotted = F.regexp_extract(body, r"(?:…|\.\.\.)$", 0)
     core = F.regexp_replace(body, r"(?:…|\.\.\.)$", "")
     return (
@@ -61,14 +58,13 @@ def features(docs: DataFrame) -> DataFrame:
             F.coalesce("source", F.lit("")).alias("source"),
             F.length("text").alias("n"),
             F.xxhash64("text").alias("spelled"),
-            tail.alias("tail"),
             (marked != "").alias("marked"),
             (dotted != "").alias("dotted"),
             core.alias("core"),
             ((F.length("text") - F.length(F.replace("text", F.lit("```"), F.lit("")))) / 3 % 2 == 1).alias("fence_open"),
         )
-        .withColumn("word", F.lower(F.regexp_extract("core", rf"({WORD})$", 1)))
-        .withColumn("last_line", F.regexp_extract("core", r"([^\n]*)$", 1))
+        .withColumn("word", F.lower(F.regexp_extract("core", rf"(?<!\p{{L}})({WORD}+)$", 1)))
+        .withColumn("last_line", F.substring_index("core", "\n", -1))
         .withColumn(
             "signed",
             F.col("core").rlike(r"(?:^|\n)(?:-- ?|\p{L}[\p{L} ]{0,24},?)\n\p{Lu}\p{L}*$") & ~F.col("core").rlike(r"\n\n\p{Lu}\p{L}*$"),
@@ -85,7 +81,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, ends = Counter(), Counter()
         for text in batch["text"].dropna():
             text = text.lower().rstrip()
-            text = text[:-40] + MARKED.sub("", text[-40:])
+            line = text.rfind("\n") + 1
+            text = text[:line] + MARKED.sub("", text[line:])
             found = LETTERS.findall(text)
             words.update(found[:-1])
             units = BORDER.split(text)
@@ -93,7 +90,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 last = unit[unit.rfind(" ") + 1 :]
                 if last.isalpha():
                     ends[last] += 1
-                elif m := LAST.search(unit[-60:]):
+                elif m := LAST.search(last):
                     ends[m[1]] += 1
         if words:
             yield pd.DataFrame({"word": list(words), "texts": list(words.values()), "ends": [ends[w] for w in words]})
@@ -122,7 +119,7 @@ def trie(words: DataFrame) -> DataFrame:
 
 def piled_lengths(shapes: DataFrame) -> DataFrame:
     """(source, n, c): lengths that a source's distinct texts pile up at, with the number of these texts."""
-    counts = shapes.select("source", "n", "tail").distinct().groupBy("source", "n").agg(F.count(F.lit(1)).alias("c"))
+    counts = shapes.select("source", "n", "spelled").distinct().groupBy("source", "n").agg(F.count(F.lit(1)).alias("c"))
     near = counts.select(
         "source", F.explode(F.sequence(F.expr(f"n div {PILE_SPAN} - 1"), F.expr(f"n div {PILE_SPAN} + 1"))).alias("slot"), "c"
     ).groupBy("source", "slot").agg(F.sum("c").alias("around"))

@@ -66,3 +66,12 @@ def test_copies_make_no_footer(spark):
     assert {(r.last_line, r.c) for r in T.footers(T.features(df)).collect()} == {("Replies: keyr", 6)}
     assert {r.doc_id for r in T.cut_texts(df).collect()} == set(range(300, 360))
     assert [(r.texts, r.cut_texts) for r in T.cut_rates(df).collect()] == [(186, 60)]
+
+
+def test_long_last_lines(spark):
+    """What begins far before the end of the last line is seen, too."""
+    rnd = random.Random(12)
+    rows = [(k, "s", text(rnd, 8)) for k in range(80)]
+    rows += [(100, "s", text(rnd, 3) + " (as told " + "the printer and " * 40 + "the printer"), (101, "s", text(rnd, 3) + " (as told the printer"), (102, "s", "x" * 900 + ". The printer (" + "x " * 300 + ")")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert {r.doc_id for r in T.cut_texts(df).collect()} == {100, 101}
