@@ -6,7 +6,8 @@ packed again, until a round no longer brings them down. No round gathers more op
 TASK_ITEMS, so the tree has as many levels as the data need and one task never holds all.
 
 Defined results: a text longer than the capacity is split into full containers and a rest, any other text is never
-split; null and empty texts have size 0 and still get a container and place; equal texts are packed each; a table
+split; null and empty texts have size 0 and still get a container and place, at most as many of them to a container as its
+capacity; equal texts are packed each; a table
 without rows gives none. The result depends on the partitioning, but every run is a valid packing.
 """
 
@@ -99,10 +100,16 @@ def _pack(capacity: int, level: int, least: int):
 
     def flush(sizes: list[int], members: list, part: int, serial: int):
         rows = []
-        for group in best_fit(sizes, capacity):
+        some, none = [k for k, s in enumerate(sizes) if s], [k for k, s in enumerate(sizes) if not s]
+        groups = [[some[k] for k in g] for g in best_fit([sizes[k] for k in some], capacity)]
+        # texts without tokens need no room: they are dealt out over the containers, what is left gets its own
+        groups += [[] for _ in range(max(1 if none and not groups else 0, -(-len(none) // capacity) - len(groups)))]
+        for i, k in enumerate(none):
+            groups[i % len(groups)].append(k)
+        for group in groups:
             size = sum(sizes[k] for k in group)
             joined = [m for k in group for m in members[k]]
-            rows.append((f"{level}-{part}-{serial}", size, joined, capacity - size <= slack))
+            rows.append((f"{level}-{part}-{serial}", size, joined, capacity - size <= slack or not size))
             serial += 1
         return pd.DataFrame(rows, columns=["container", "size", "members", "full"]), serial
 

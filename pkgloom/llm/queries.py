@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -240,29 +241,29 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return product_matches(spark, folder).select("cpe_id", "software_id")
 
 
-#: The profile of pack_capacities that p7_packed fills.
-PROFILE = "base"
-
-
 def capacities(spark: SparkSession, folder: str) -> dict[str, int]:
     rows = small(table(spark, folder, "pack_capacities"), 1_000, "pack_capacities")
     return {r.profile: int(r.capacity_tokens) for r in rows}
 
 
-def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """Container and place of every text, in the capacity of PROFILE."""
+def _per_profile(spark: SparkSession, folder: str, report) -> DataFrame:
+    """What ``report`` makes of (packed, capacity) for every profile, with the profile; the texts are measured once."""
     sizes = cut(packing.token_sizes(table(spark, folder, "documents")))
-    return packing.pack(sizes, capacities(spark, folder)[PROFILE])
+    shares = [
+        report(packing.pack(sizes, capacity), capacity).withColumn("profile", F.lit(profile)) for profile, capacity in sorted(capacities(spark, folder).items())
+    ] or [report(packing.pack(sizes.limit(0), 1), 1).withColumn("profile", F.lit(""))]
+    out = functools.reduce(DataFrame.unionByName, shares)
+    return out.select("profile", *[c for c in out.columns if c != "profile"])
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Container and place of every text, in the capacity of every profile."""
+    return _per_profile(spark, folder, lambda packed, capacity: packed)
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How full the containers of every profile get."""
-    sizes = cut(packing.token_sizes(table(spark, folder, "documents")))
-    out = None
-    for profile, capacity in sorted(capacities(spark, folder).items()):
-        one = packing.fill(packing.pack(sizes, capacity), capacity).select(F.lit(profile).alias("profile"), F.lit(capacity).alias("capacity"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _per_profile(spark, folder, lambda packed, capacity: packing.fill(packed, capacity).withColumn("capacity", F.lit(capacity)))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from pkgloom.llm import packing as P
+from pkgloom.llm import queries as Q
 
 
 @given(st.lists(st.integers(0, 50), max_size=60))
@@ -54,3 +55,20 @@ def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (None, "a"), (2**60, "x " * 60_000), (1, "Hello world")], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0), r.tokens) for r in P.token_sizes(df).collect())
     assert got == [(0, 1), (1, 2), (1, 2), (2, 0), (3, 0), (2**60, 60_001)]
+
+
+def test_texts_without_tokens_are_dealt_out(spark):
+    sizes = {k: 0 for k in range(2_000)} | {3_000 + k: 9 for k in range(12)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id bigint, tokens bigint").coalesce(2)
+    rows = P.pack(df, 50).collect()
+    check(rows, sizes, 50)
+    held = {}
+    for r in rows:
+        held[r.container] = held.get(r.container, 0) + (r.tokens == 0)
+    assert max(held.values()) <= 50 and len(rows) == len(sizes)
+
+
+def test_every_profile_is_packed(spark, folder):
+    rows = Q.p7_packed(spark, folder).groupBy("profile").count().collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert {r.profile for r in rows} == set(Q.capacities(spark, folder)) and all(r["count"] >= docs for r in rows)
