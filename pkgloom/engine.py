@@ -84,6 +84,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what finished steps held: frames that are no longer used leave the driver's heap, and with them the checkpoints,
+    shuffles and broadcasts that Spark removes when their frames are collected. For queries of many steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def key_spelling(column: Column) -> Column:
     """Lower case, every run of characters that are neither letters nor digits as one blank, trimmed; null gives ''."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{Nd}]+", " "))
@@ -114,8 +120,11 @@ def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     A key with at least 1/HEAVY_SHARE of all rows would land in a single task; there are at most HEAVY_SHARE such
     keys, so these are joined by broadcast and the rest by an ordinary shuffled join. ``how`` is inner or left;
     keys are compared as non-null values."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    heavy = F.col(size) * HEAVY_SHARE >= F.lit(max(total, HEAVY_SHARE))
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    total = max(total or 0, HEAVY_SHARE)
+    if (most or 0) * HEAVY_SHARE < total:
+        return rows.join(groups, keys, how)  # no key is heavy
+    heavy = F.col(size) * HEAVY_SHARE >= F.lit(total)
     few = F.broadcast(groups.where(heavy))
     hot = rows.join(few, keys, "inner")
     cold = rows.join(F.broadcast(groups.where(heavy).select(*keys)), keys, "left_anti").join(groups.where(~heavy), keys, how)

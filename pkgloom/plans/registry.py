@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pkgloom.plans import packed, relational, texts  # noqa: F401, texts adds its queries to the same registry
+from pkgloom.plans import packed, records, relational, texts  # noqa: F401, records and texts add their queries to the same registry
 
 
 def queries() -> dict:

@@ -368,13 +368,14 @@ def license_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with n as (select publisher, product, nullif(version, '-') as version, id from cpe_entities),
-o as (select publisher, product, version from cpe_entities where id % 3 = 0)
+o as (select publisher, product, version from cpe_entities where version not in ('-', '*'))
 select publisher, product, version, min(id) as id from n where not exists (select 1 from o where o.publisher is not distinct from n.publisher
  and o.product is not distinct from n.product and o.version is not distinct from n.version) group by all""")
 def cpe_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
+    """The whole dictionary against its stored entries, which are those with a stated version."""
     cpe = table(spark, d, "cpe_entities")
     return upserts.insert_ignore(
-        cpe.where("id % 3 = 0"), cpe.withColumn("version", F.nullif("version", F.lit("-"))), ["publisher", "product", "version"], "id"
+        cpe.where("version not in ('-', '*')"), cpe.withColumn("version", F.nullif("version", F.lit("-"))), ["publisher", "product", "version"], "id"
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgloom.functions.names import distinct_names, title
-from pkgloom.functions.versions import exact_pattern
+from pkgloom.functions.versions import changelog_date, exact_pattern
 
 #: Texts from which a description or license is made are cut to so many characters.
 HEAD = 4_096
@@ -72,12 +72,18 @@ def told(*columns: Column, least: int = 10) -> Column:
     return out
 
 
+def given(df: DataFrame, column: str) -> Column:
+    """A column that a payload may lack, '' where it does."""
+    return F.coalesce(F.col(column), F.lit("")) if column in df.columns else F.lit("")
+
+
 def known_license(name: Column) -> Column:
     return F.when((name != "") & ~F.lower(name).contains("other"), F.array(name)).otherwise(empty())
 
 
 def github(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Payload: package, url, inherited, project, owner, readme (base64 JSON), license (JSON), tag_name, tag_commit."""
+    """Payload: package, url, version, inherited, project, owner, readme (base64 JSON), license (JSON), tag_commit, and release_date
+    where ``releases`` found one in a changelog or among the tags."""
     readme = F.coalesce(F.unbase64(F.regexp_replace(text("readme", "$.content"), r"\s", "")).cast("string"), F.lit(""))
     raw = F.coalesce(F.unbase64(F.regexp_replace(text("license", "$.content"), r"\s", "")).cast("string"), F.lit(""))
     named = F.when(F.size(known_license(text("project", "$.license.name"))) > 0, text("project", "$.license.name")).otherwise(text("license", "$.license.name"))
@@ -90,12 +96,12 @@ def github(df: DataFrame, keys: list[str]) -> DataFrame:
         homepage=first(text("project", "$.homepage"), F.col("url")),
         description=told(text("project", "$.description"), F.coalesce("inherited", F.lit("")), F.trim(F.concat_ws(" ", text("project", "$.description"), F.substring(readme, 1, HEAD))), least=10),
         licenses=known_license(named), license_text=F.when(F.size(known_license(named)) == 0, F.substring(raw, 1, HEAD)).otherwise(F.lit("")),
-        release_version=F.coalesce("version", F.lit("")), release_date=F.substring(text("tag_commit", "$.commit.committer.date"), 1, 10),
+        release_version=F.coalesce("version", F.lit("")), release_date=first(given(df, "release_date"), F.substring(text("tag_commit", "$.commit.committer.date"), 1, 10)),
     )
 
 
 def gitlab(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Payload: package, url, version, inherited, project, readme and license_file (texts), tag (JSON)."""
+    """Payload: package, url, version, inherited, project, readme and license_file (texts), tag (JSON), and release_date as above."""
     name = first(text("project", "$.name"), text("project", "$.path"))
     space = first(text("project", "$.namespace.name"), text("project", "$.namespace.path"), F.regexp_extract("url", r"\.([^./]+)\.org", 1))
     named = first(text("project", "$.license.name"), text("project", "$.license.key"))
@@ -107,7 +113,7 @@ def gitlab(df: DataFrame, keys: list[str]) -> DataFrame:
         homepage=first(text("project", "$.web_url"), F.col("url")),
         description=told(text("project", "$.description"), F.coalesce("inherited", F.lit("")), F.substring(F.coalesce("readme", F.lit("")), 1, HEAD)),
         licenses=known_license(named), license_text=F.when(F.size(known_license(named)) == 0, head).otherwise(F.lit("")),
-        release_version=F.coalesce("version", F.lit("")), release_date=F.substring(text("tag", "$.commit.committed_date"), 1, 10),
+        release_version=F.coalesce("version", F.lit("")), release_date=first(given(df, "release_date"), F.substring(text("tag", "$.commit.committed_date"), 1, 10)),
     )
 
 
@@ -122,10 +128,30 @@ def pagure(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def perl_release(df: DataFrame) -> tuple[Column, Column]:
+    """(version, day) of a Perl distribution's release, see ``metacpan``."""
+    latest, latest_day = text("release", "$.version"), F.substring(text("release", "$.date"), 1, 10)
+    if not {"author_releases", "changes", "latest_changes"} & set(df.columns):
+        return first(latest, F.coalesce("version", F.lit(""))), latest_day
+    asked = F.coalesce("version", F.lit(""))
+    suffix = F.nullif(given(df, "version_suffix"), F.lit(""))
+    exact = exact_pattern(asked, suffix)
+    own = (asked == "") | F.regexp(latest, exact)
+    listed = F.coalesce(F.from_json(given(df, "author_releases"), "array<struct<version:string,date:string>>"), F.from_json(F.lit("[]"), "array<struct<version:string,date:string>>"))
+    theirs = F.get(F.filter(listed, lambda r: F.regexp(F.coalesce(r["version"], F.lit("")), exact)), F.lit(0))
+    told = [F.coalesce(changelog_date(given(df, c), asked, suffix), F.lit("")) for c in ("changes", "latest_changes")]
+    in_changes = first(*told)
+    version = F.when(own, first(latest, asked)).when(theirs.isNotNull() | (in_changes != ""), F.coalesce(theirs["version"], asked)).otherwise(first(latest, asked))
+    day = F.when(own, latest_day).when(theirs.isNotNull(), F.substring(F.coalesce(theirs["date"], F.lit("")), 1, 10)).when(in_changes != "", in_changes).otherwise(latest_day)
+    return version, day
+
+
 def metacpan(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Payload: package, url, version, release, author, module (JSON bodies; module is one body or a list of them in order).
+    """Payload: package, url, version, release, author, module (JSON bodies; module is one body or a list of them in order), and
+    where the service gave them version_suffix, author_releases (a list of release bodies), changes and latest_changes (texts).
 
-    A distribution is obsolete when a module of it now belongs to another one. Every described module is told, once."""
+    The release is the asked one if ``release`` or one of the author's is of that version; else a changelog may tell its day; else
+    it is the latest one. A distribution is obsolete when a module of it now belongs to another one. Every described module is told, once."""
     name = first(text("release", "$.distribution"), F.col("package"))
     alone = text("release", "$.provides")
     modules = F.when(alone != "", F.array(alone)).otherwise(strings("release", "$.provides"))
@@ -162,6 +188,7 @@ def metacpan(df: DataFrame, keys: list[str]) -> DataFrame:
     author = first(text("author", "$.name"), text("release", "$.author"), F.lit("CPAN"))
     listed = strings("release", "$.license")
     licenses = F.when(F.size(listed) == 0, F.array(F.lit("perl_5"))).otherwise(listed)
+    version, day = perl_release(df)
     return record(
         df, keys,
         software=name,
@@ -170,7 +197,7 @@ def metacpan(df: DataFrame, keys: list[str]) -> DataFrame:
         homepage=first(text("release", "$.resources.homepage.web"), text("release", "$.resources.homepage"), F.concat(F.lit("https://metacpan.org/dist/"), name)),
         description=F.when(moved.isNotNull() & ~perl, obsolete).otherwise(present),
         licenses=F.flatten(F.transform(licenses, lambda x: F.when(x == "perl_5", F.array(F.lit("Artistic-1.0-Perl"), F.lit("GPL-1.0-or-later"))).otherwise(F.array(x)))),
-        release_version=first(text("release", "$.version"), F.coalesce("version", F.lit(""))), release_date=F.substring(text("release", "$.date"), 1, 10),
+        release_version=version, release_date=day,
     )
 
 
@@ -200,7 +227,7 @@ def pypi_release(project: str, version: str, suffix: str) -> Column:
 
 
 def pypi(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Payload: package, url, version, version_suffix, project (JSON)."""
+    """Payload: package, url, version, version_suffix, project (JSON), and release_date where the project's feed has one."""
     lines = F.split(text("project", "$.info.description"), r"\r?\n")
     kept = F.slice(F.filter(F.transform(lines, F.trim), lambda x: (x != "") & ~x.rlike(r"^(?:\.\. |!\[|\[!|https?://|:target:|:alt:)")), 1, LINES)
     owner = F.regexp_extract(text("project", "$.info.home_page"), r"^https?://(?:www\.)?git(?:hub|lab)\.com/([^/]+)", 1)
@@ -213,13 +240,13 @@ def pypi(df: DataFrame, keys: list[str]) -> DataFrame:
         description=F.trim(F.concat_ws(" ", F.nullif(text("project", "$.info.summary"), F.lit("")), F.nullif(F.array_join(kept, " "), F.lit("")))),
         licenses=F.when(text("project", "$.info.license") != "", F.array(text("project", "$.info.license"))).otherwise(empty()),
         release_version=F.coalesce("version", F.lit("")),
-        release_date=F.coalesce(F.substring(F.get(F.col("release_.value"), F.lit(0))["upload_time"], 1, 10), F.lit("")),
+        release_date=first(F.coalesce(F.substring(F.get(F.col("release_.value"), F.lit(0))["upload_time"], 1, 10), F.lit("")), given(df, "release_date")),
     )
 
 
 def rubygem(df: DataFrame, keys: list[str]) -> DataFrame:
     """Payload: package, url, version, inherited, gem (JSON), and the record of the source project where there is one
-    (columns source_publisher, source_description, source_release_date)."""
+    (columns source_publisher, source_description, source_release_date), and release_date where the gem's changelog has one."""
     info = text("gem", "$.info")
     spelled = F.regexp_substr(info, F.concat(F.lit(r"(?i)\b"), F.regexp_replace("package", r"([^\p{L}\p{Nd}])", r"\\$1"), F.lit(r"\b")))
     return record(
@@ -229,7 +256,7 @@ def rubygem(df: DataFrame, keys: list[str]) -> DataFrame:
         homepage=first(text("gem", "$.homepage_uri"), text("gem", "$.project_uri"), F.col("url")),
         description=first(info, F.coalesce("inherited", F.lit("")), F.coalesce("source_description", F.lit(""))),
         licenses=strings("gem", "$.licenses"),
-        release_version=F.coalesce("version", F.lit("")), release_date=F.coalesce("source_release_date", F.lit("")),
+        release_version=F.coalesce("version", F.lit("")), release_date=first(given(df, "release_date"), F.coalesce("source_release_date", F.lit(""))),
     )
 
 

@@ -138,6 +138,26 @@ def test_spec():
     assert specfile.expand("%{a}", {"a": "%{b}", "b": "%{a}"}) in ("%{a}", "%{b}")
 
 
+def test_spec_parts():
+    text = (
+        "%{!?rel: %global rel 3}\n%global tool \\\n foo\nName: foo\nVersion: 1\nVersion: 2\nRelease: %{rel}\nSource: a-%{version}.tgz\nSource7: b\nPatch1: p.diff\n"
+        "%description\nMain.\n%package -n libfoo\nSummary: Library of %{name}\nGroup: Libs\nRequires: %{name} >= %{version}, bar\nProvides: foo(lib)\n%description -n libfoo\nShared parts.\n"
+        "%package doc\nSummary: Texts\n%description doc -l de\nTexte.\n%files -n libfoo\n/usr\n%changelog\n* one"
+    )
+    s = specfile.parse(text)
+    assert (s["version"], s["release"], s["macros"]["tool"].strip(), s["packages"]) == ("1", "3", "foo", ["libfoo", "foo-doc"])
+    assert s["files"] == {"source0": "a-1.tgz", "source7": "b", "patch1": "p.diff"}
+    one, two = s["parts"]
+    assert (one["name"], one["summary"], one["group"], one["description"], one["requires"], one["provides"]) == ("libfoo", "Library of foo", "Libs", "Shared parts.", ["foo >= 1", "bar"], ["foo(lib)"])
+    assert (two["name"], two["description"], s["description"], s["changelog"]) == ("foo-doc", "Texte.", "Main.", "* one")
+
+
+def test_spec_struct(spark):
+    df = spark.createDataFrame([("Name: a\n%package b\nSummary: x",), (None,), ("",)], "t string").select(specfile.spec_struct("t").alias("s"))
+    rows = df.select("s.name", F.transform("s.parts", lambda p: p["name"]).alias("parts")).collect()
+    assert [(r.name, r.parts) for r in rows] == [("a", ["a-b"]), (None, []), (None, [])]
+
+
 def test_html(spark):
     assert html.text_of("<html><head><title>no</title></head><p>Hello <b>you</b></p><ul><li>item</li></ul><img alt='pic'><script>x</script>end") == "Hello you picend"
     assert html.text_of(None) == ""

@@ -11,6 +11,7 @@ from pkgloom.plans import images
 from pkgloom.providers import FirstSentences, define_texts, extract_licenses
 from pkgloom.resolvers import packages as P
 from pkgloom.resolvers import projects as R
+from pkgloom.resolvers import releases
 
 PACKAGES = (
     "projectname_seed string, family string, repo string, srcname string, binname string, visiblename string, trackname string, "
@@ -251,3 +252,22 @@ def test_providers(spark):
     assert {r.definition for r in define_texts(df, FirstSentences).collect()} == {"One. Two!", ""}
     names = extract_licenses(df.withColumn("description", F.lit("under the Foo License")), lambda: FirstSentences(["Foo License", "Bar"]), "description", "software")
     assert names.first().found_licenses == ["Foo License"]
+
+
+def test_release_ways(spark):
+    asked = spark.createDataFrame([(1, "1.2", None), (2, "1.2", None), (3, "2.0", None), (4, "9", None), (5, "", None)], "id int, version string, version_suffix string")
+    tags = spark.createDataFrame([(1, "v1.2", "2020-01-02T00", 1, 0), (1, "1.2.0", "2021-01-01", 2, 0), (2, "v1.23", "2020-05-05", 0, 0), (3, "v2.0rc1", "2019-01-01", 0, 0), (3, "v2.0.1", None, 0, 1)], "id int, name string, date string, page int, pos int")
+    by_tag = releases.by_tag(asked, tags, ["id"])
+    assert {(r.id, r.name, r.release_date, r.is_exact) for r in by_tag.collect()} == {(1, "v1.2", "2020-01-02", True), (3, "v2.0.1", "", False)}
+    log = spark.createDataFrame([(2, "1.3 (2022-02-02)\n1.2 (2021-03-04)\n"), (3, "2.0 - 5 May 2020"), (4, None)], "id int, text string")
+    by_log = releases.by_changelog(asked, log, ["id"])
+    assert {(r.id, r.release_date) for r in releases.first_known(asked, ["id"], by_tag, by_log).collect()} == {(1, "2020-01-02"), (2, "2021-03-04"), (3, "2020-05-05"), (4, ""), (5, "")}
+    assert releases.by_feed(asked, spark.createDataFrame([], "id int, body string"), ["id"]).count() == 0
+
+
+def test_perl_releases(spark):
+    release = json.dumps({"distribution": "Foo", "version": "2.0", "date": "2024-01-01T10:00"})
+    other = json.dumps([{"version": "1.5", "date": "2020-02-03T00:00"}])
+    rows = [("a", "2.0", None, None), ("b", "1.5", other, None), ("c", "1.2", other, "1.2 2019-04-05\n - fix"), ("d", "0.1", None, None)]
+    df = spark.createDataFrame([(p, "u", v, None, release, None, None, o, c, None) for p, v, o, c in rows], "package string, url string, version string, version_suffix string, release string, author string, module string, author_releases string, changes string, latest_changes string")
+    assert {r.package: (r.release_version, r.release_date) for r in R.metacpan(df, ["package"]).collect()} == {"a": ("2.0", "2024-01-01"), "b": ("1.5", "2020-02-03"), "c": ("1.2", "2019-04-05"), "d": ("2.0", "2024-01-01")}
