@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut, join_skewed
+from pkgloom.engine import cut, join_skewed, release
 
 # Generic words of organisation names with their abbreviations; the default of a parameter.
 GENERIC_GROUPS = """
@@ -341,17 +341,17 @@ def parts_within(word: Column) -> Column:
 
 
 def given_stars(parts_of: DataFrame, close: DataFrame) -> DataFrame:
-    """(family, given, center) for the given parts of two letters and more beside each family word.
+    """(family, given, n, center) for the given parts of two letters and more beside each family word.
 
     A given part that is contained in a longer one of its family (``parts_of`` n > 1) is its nickname; all others meet where
     they share a word, where two of their words are ``close`` (pairs of words), or where a word of one is part of a word of
     the other."""
-    full = cut(parts_of.where("length(given) > 1").select(F.concat_ws("\x01", "family", "given").alias("node"), "family", "given", F.col("n").cast("bigint").alias("n")))
+    full = parts_of.where("length(given) > 1").select(F.concat_ws("\x01", "family", "given").alias("node"), "family", "given", F.col("n").cast("bigint").alias("n"))
     long = full.where("n > 1 and length(given) >= 5").select("family", F.explode(F.array_distinct(parts_within(F.col("given")))).alias("given"), F.struct("n", "given").alias("longer"))
-    nick = full.where("length(given) >= 3").join(long, ["family", "given"]).groupBy("family", "given").agg(F.max("longer.given").alias("last"), F.max("longer").alias("best"))
-    nick = cut(nick.select("family", "given", F.col("best.given").alias("full")))
+    nick = full.where("length(given) >= 3").join(long, ["family", "given"]).groupBy("family", "given").agg(F.max("n").alias("n"), F.max("longer").alias("best"))
+    nick = cut(nick.select("family", "given", "n", F.col("best.given").alias("full")))
     up = nick.select("family", F.col("given").alias("full"), F.col("full").alias("fuller"))
-    nick = nick.join(up, ["family", "full"], "left").select("family", "given", F.coalesce("fuller", "full").alias("full"))
+    nick = nick.join(up, ["family", "full"], "left").select("family", "given", "n", F.coalesce("fuller", "full").alias("full"))
     rest = full.join(nick, ["family", "given"], "left_anti")
     words = cut(rest.select("node", "n", "family", F.explode(F.array_distinct(F.split("given", " "))).alias("word")))
     met = meetings(words.select("node", "n", F.xxhash64("family", "word").alias("key")).distinct())
@@ -367,17 +367,16 @@ def given_stars(parts_of: DataFrame, close: DataFrame) -> DataFrame:
     star = stars(pairs)
     given = F.regexp_extract("center", "\x01(.*)$", 1)
     settled = rest.join(star, "node", "left").select("family", "given", "n", F.when(F.col("center").isNull(), F.col("given")).otherwise(given).alias("center"))
-    settled = cut(settled)
     above = settled.select("family", F.col("given").alias("full"), "center")
-    nicked = nick.join(above, ["family", "full"], "left").select("family", "given", F.coalesce("center", "full").alias("center"))
-    return settled.select("family", "given", "center").unionByName(nicked)
+    nicked = nick.join(above, ["family", "full"], "left").select("family", "given", "n", F.coalesce("center", "full").alias("center"))
+    return settled.select("family", "given", "n", "center").unionByName(nicked)
 
 
 def placed_given(parts_of: DataFrame, close: DataFrame) -> DataFrame:
     """(family, given, center, likely): the star of every given part of a family, initials and the empty one included. An
     initial belongs to the only star that begins with it, nothing to the only star; else ``center`` is null and ``likely``
     the most frequent star that fits."""
-    star = cut(given_stars(parts_of, close).join(parts_of.select("family", "given", "n"), ["family", "given"]))
+    star = cut(given_stars(parts_of, close))
     centers = star.where("center = given").select("family", "center", F.col("n").alias("weight"))
     top = F.max_by("center", F.struct("weight", F.transform(F.split("center", ""), lambda c: -F.ascii(c)))).alias("top")
     by_family = centers.groupBy("family").agg(F.count(F.lit(1)).alias("many"), top)
@@ -437,6 +436,7 @@ def entities(names: DataFrame, together: DataFrame | None = None, generic: dict[
     words = cut(worded.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     close = word_pairs(words)
     family = word_families(words, close)
+    release(names.sparkSession)
     placed = worded.join(family, "word")
     beside = (
         worded.select("name", "word", F.substring("word", 1, 1).alias("letter"))
@@ -534,6 +534,7 @@ def entities(names: DataFrame, together: DataFrame | None = None, generic: dict[
     )
     grouped = grouped.join(nicknames, "given", "left").withColumn("given", F.coalesce("full", "given")).drop("full")
     grouped = cut(grouped.select("family", "given", "name", "n"))
+    release(names.sparkSession)
     # only the different given parts of a family meet, not its names
     parts_of = cut(grouped.groupBy("family", "given").agg(F.sum("n").alias("n")))
     stars_of = placed_given(parts_of, close)

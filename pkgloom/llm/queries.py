@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgloom.engine import cut, join_skewed, key_spelling, small, table
+from pkgloom.engine import cut, join_skewed, key_spelling, release, small, table
 from pkgloom.llm import canonical, fingerprints, leakage, linkage, names, packing, survivor, truncation
 from pkgloom.plans.packed import MAX_LICENSES, alpine_license_values
 
@@ -130,6 +130,7 @@ def product_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     )
     spelled = cut(spelled)
     entity = cut(names.entities(spelled, publishers_together(spark, folder)).join(spelled, "name").select("name", "entity", "n"))
+    release(spark)
     # what a record says of its publisher, in order, and what stands beside it (place -1)
     called = records.select("software_id", F.posexplode("said").alias("at", "name")).unionByName(records.select("software_id", F.lit(-1).alias("at"), F.explode("beside").alias("name")))
     meant = join_skewed(called, entity, ["name"], "n").groupBy("software_id").agg(
@@ -155,9 +156,11 @@ def product_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     c_forms = c_rows.groupBy("form", "entity", "product").agg(F.sum("n").alias("n"))
     forms = cut(s_forms.unionByName(c_forms).where("product <> ''"))
     pairs, loose = linkage.candidates(forms)
+    release(spark)
     placed, bridges = guessed_publishers(s_rows.where("entity = ''"), forms, loose)
     said = s_rows.where("entity <> ''").select("software_id", "form", F.array_contains("asides", F.col("entity")).cast("int").alias("hinted"), F.lit(1).alias("named"))
     placed = cut(said.unionByName(placed.withColumn("named", F.lit(0))))
+    release(spark)
     sizes = placed.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
     everything = sizes.unionByName(c_forms.where("product <> ''").select("form", "n"))
     products = linkage.products_of(everything, pairs.unionByName(bridges).groupBy("form_a", "form_b").agg(F.max("similarity").alias("similarity")))
