@@ -15,12 +15,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: A worker forgets its answers when it holds so many, so memory stays bounded whatever the number of spellings.
-MEMO = 200_000
+from pkgloom.engine import cut, join_skewed, unused
 
 # Notes that are appended to a license without changing it, generic nouns, abbreviations.
 NOTES = re.compile(
@@ -164,21 +164,22 @@ class CanonicalList:
 def map_values(df: DataFrame, column: str, entries: list[tuple[str, str | None]]) -> DataFrame:
     """``df`` with a column ``identifier`` for the non-null, non-empty values of ``column``; other rows are dropped.
 
-    A column of that name is replaced. ``entries`` is the bounded canonical list. Each worker holds the trie; there is no shuffle, so a spelling that
-    fills a third of the table costs one search per worker."""
+    A column of that name is replaced. ``entries`` is the bounded canonical list, whose trie each worker holds. Every distinct
+    value is counted before it is shuffled, resolved once, and joined back; a spelling that fills a third of the table is
+    joined apart from the others."""
     df = df.drop("identifier")
-    names = df.columns
+    (held,) = unused(df, "held_")
+    kept = df.where(F.col(column).isNotNull() & (F.col(column) != ""))
+    (kind,) = [f.dataType for f in df.schema.fields if f.name == column]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = CanonicalList(entries)
-        memo: dict[str, str] = {}
         for batch in batches:
-            if len(memo) > MEMO:
-                memo.clear()
-            for text in batch[column].unique():
-                if text not in memo:
-                    memo[text] = canonical.resolve(text)
-            yield batch.assign(identifier=batch[column].map(memo))[[*names, "identifier"]]
-
-    kept = df.where(f"{column} is not null and {column} <> ''")
-    return kept.mapInPandas(work, StructType([*df.schema.fields, StructField("identifier", StringType())]))
+            answers = pa.array([canonical.resolve(text) for text in batch.column(0).to_pylist()], type=pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, answers], names=[column, held, "identifier"])
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = kept.groupBy(column).agg(F.count(F.lit(1)).alias(held)).repartition(tasks)
+    schema = StructType([StructField(column, kind), StructField(held, LongType()), StructField("identifier", StringType())])
+    answers = cut(values.mapInArrow(work, schema))
+    return join_skewed(kept, answers, [column], held).select(*df.columns, "identifier")

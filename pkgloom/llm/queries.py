@@ -92,11 +92,15 @@ def p6_members(spark: SparkSession, folder: str) -> DataFrame:
     return names.members(names.entities(publisher_names(spark, folder), publishers_together(spark, folder)))
 
 
+#: A worker forgets its answers when it holds so many, so memory stays bounded whatever the number of spellings.
+MEMO = 200_000
+
+
 def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds the canonical product words of (text, entity) to each row."""
     memo: dict[tuple, str] = {}
     for batch in batches:
-        if len(memo) > canonical.MEMO:
+        if len(memo) > MEMO:
             memo.clear()
         keys = list(zip(batch["text"], batch["entity"], strict=True))
         for k in keys:
