@@ -4,7 +4,7 @@ A shard is up to SHARD characters of texts as word numbers of the evaluation voc
 stretch, and a stretch of fewer than four words cannot hold a phrase; all others are indexed: suffix array, Burrows-Wheeler
 transform, a wavelet matrix for ranks, sampled suffix positions. All four-word phrases of the items are searched
 backwards at once, located through the samples, chained along equal offsets, and every chain is drawn out on both sides over
-equal words and single changed ones, as far as they go. Runs of eight words or more are merged into removal
+equal words and single changed ones that two equal words follow, as far as they go. Runs of eight words or more are merged into removal
 spans per text and item.
 
 Notices are phrases that three or more items share, or that stand in at least NOTICE_SHARE of all texts; they count
@@ -182,7 +182,7 @@ def _known_stretches(ids: np.ndarray) -> np.ndarray:
 
 def _drawn_out(text: np.ndarray, at: np.ndarray, flat: np.ndarray, word: np.ndarray, step: int) -> np.ndarray:
     """How far runs go on from the words at ``at`` of the text and ``word`` of the items, which are equal, in steps of +1 or
-    -1: over equal words, and over a single changed one that an equal one follows."""
+    -1: over equal words, and over a single changed one that two equal ones follow."""
     far = np.zeros(len(at), dtype=np.int64)
     live = np.arange(len(at))
     while len(live):
@@ -190,7 +190,7 @@ def _drawn_out(text: np.ndarray, at: np.ndarray, flat: np.ndarray, word: np.ndar
         equal = text[t] == flat[w]
         bridged = ~equal & (text[t] != -1) & (flat[w] != -2)
         t2, w2 = np.where(bridged, t + step, t), np.where(bridged, w + step, w)
-        bridged &= text[t2] == flat[w2]
+        bridged &= (text[t2] == flat[w2]) & (text[t2 + step] == flat[w2 + step])
         far[live] += np.where(equal, 1, np.where(bridged, 2, 0))
         live = live[equal | bridged]
     return far

@@ -29,14 +29,20 @@ def brute(docs, items):
             got = set()
             for shift in range(-len(v), len(w)):
                 same = [0 <= p + shift < len(w) and w[p + shift] == v[p] for p in range(len(v))]
-                for p in range(len(v)):  # the longest run from p on, if p begins one
-                    if not same[p] or any(same[q] for q in (p - 1, p - 2) if q >= 0):
-                        continue
-                    end = p + 1
-                    while end < len(v) and (same[end] or end + 1 < len(v) and same[end + 1] and end + shift < len(w)):
-                        end += 1 if same[end] else 2
-                    if end - p >= 8 and any(all(same[q : q + 4]) for q in range(p, end - 3)):
-                        got |= set(range(p, end))
+                parts, p = [], 0  # stretches of two equal words and more; one changed word may lie between
+                while p < len(v):
+                    end = p
+                    while end < len(v) and same[end]:
+                        end += 1
+                    if end - p >= 2:
+                        if parts and parts[-1][-1][1] == p - 1 and 0 <= p - 1 + shift < len(w):
+                            parts[-1].append((p, end))
+                        else:
+                            parts.append([(p, end)])
+                    p = end + 1
+                for run in parts:
+                    if run[-1][1] - run[0][0] >= 8 and any(z - a >= 4 for a, z in run):
+                        got |= set(range(run[0][0], run[-1][1]))
             if v and len(got) / len(v) >= 1 / 3:
                 out.add((d, i))
     return out
@@ -87,10 +93,10 @@ def test_blocks_and_notices(spark, monkeypatch):
 
 def test_run_beyond_a_changed_word(spark):
     item = [f"q{k}" for k in range(20)]
-    texts = {1: item[:3] + ["x"] + item[4:9], 2: item[:3] + ["x", "y"] + item[5:9], 3: item[:2] + ["x"] + item[3:5] + ["y"] + item[6:8], 4: [*item[:3], "x", item[4], "y", *item[6:10]]}
+    texts = {1: item[:3] + ["x"] + item[4:9], 2: item[:3] + ["x", "y"] + item[5:9], 3: item[:2] + ["x"] + item[3:5] + ["y"] + item[6:8], 4: [*item[:3], "x", *item[4:6], "y", *item[7:11]], 5: [*item[:5], "x", item[6], "y", item[8]]}
     df = spark.createDataFrame([(k, " ".join(["a", *v, "b"])) for k, v in texts.items()], "doc_id bigint, text string")
     it = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
-    assert {(r.doc_id, r.share) for r in L.leaks(df, it)[0].collect()} == {(1, 0.45), (4, 0.5)}
+    assert {(r.doc_id, r.share) for r in L.leaks(df, it)[0].collect()} == {(1, 0.45), (4, 0.55)}
 
 
 def test_many_shards(spark, monkeypatch):
