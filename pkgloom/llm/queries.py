@@ -96,21 +96,29 @@ def p6_members(spark: SparkSession, folder: str) -> DataFrame:
 MEMO = 200_000
 
 
-def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words_of(short_forms: dict[str, str], empty_words: set[str]):
     """Adds the canonical product words of (text, entity) to each row."""
-    memo: dict[tuple, str] = {}
-    for batch in batches:
-        if len(memo) > MEMO:
-            memo.clear()
-        keys = list(zip(batch["text"], batch["entity"], strict=True))
-        for k in keys:
-            if k not in memo:
-                memo[k] = linkage.product_words(*k)
-        yield batch.assign(product=[memo[k] for k in keys])
-
-
-def product_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """((cpe_id, product_id), (software_id, product_id, confidence)): the products of both sources that are matched."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[tuple, str] = {}
+        for batch in batches:
+            if len(memo) > MEMO:
+                memo.clear()
+            keys = list(zip(batch["text"], batch["entity"], strict=True))
+            for k in keys:
+                if k not in memo:
+                    memo[k] = linkage.product_words(*k, short_forms, empty_words)
+            yield batch.assign(product=[memo[k] for k in keys])
+
+    return work
+
+
+def product_classes(
+    spark: SparkSession, folder: str, short_forms: dict[str, str] = linkage.SHORT_FORMS, empty_words: set[str] = linkage.EMPTY_WORDS
+) -> tuple[DataFrame, DataFrame]:
+    """((cpe_id, product_id), (software_id, product_id, confidence)): the products of both sources that are matched. The lists of
+    short forms and empty words of product names are parameters."""
+    worded = _words_of(short_forms, empty_words)
     info, cpe = table(spark, folder, "software_info"), table(spark, folder, "cpe_entities")
     none = F.array().cast("array<string>")
     hint = F.split(F.lower(F.regexp_replace("cpe_string", r"^(?i)cpe:(?:2\.3:|/)a:", "")), ":")
@@ -147,13 +155,13 @@ def product_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
         known.select("software_id", "entity", "asides", F.explode("texts").alias("said"))
         .select("software_id", "entity", "asides", "said", F.explode(F.array_distinct(F.array("said", _tail))).alias("text"))
         .where("text = said or entity = ''")
-        .mapInPandas(_words_of, "software_id bigint, entity string, asides array<string>, said string, text string, product string")
+        .mapInPandas(worded, "software_id bigint, entity string, asides array<string>, said string, text string, product string")
         .withColumn("form", F.concat(F.lit("s"), F.concat_ws("\u0001", "entity", "product")))
     )
     c_rows = cut(
         cpe_forms.join(entity.drop("n"), "name", "left")
         .select("publisher", F.col("product").alias("text"), "n", F.coalesce("entity", F.concat(F.lit("? "), "name")).alias("entity"))
-        .mapInPandas(_words_of, "publisher string, text string, n bigint, entity string, product string")
+        .mapInPandas(worded, "publisher string, text string, n bigint, entity string, product string")
         .withColumn("form", F.concat(F.lit("c"), F.concat_ws("\u0001", "entity", "product")))
     )
     s_forms = s_rows.groupBy("form", "entity", "product").agg(F.count(F.lit(1)).alias("n"))
