@@ -58,7 +58,8 @@ def nearest(queries: DataFrame, base: DataFrame, threshold: float | None = None,
     id, within ``threshold`` (inclusive) where given. Both have id and vector; vectors are of one length.
 
     The query set meets every base vector, in blocks of QUERY_BLOCK queries that are sent to the workers: each task
-    keeps its best per query, and only those bests are shuffled."""
+    keeps its best per query, and only those bests are shuffled. The driver holds one block at a time; of several, each is
+    settled before the next is read."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     numbered = queries.select("id", "vector").where("vector is not null").withColumn("block_", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     found = None
@@ -67,8 +68,10 @@ def nearest(queries: DataFrame, base: DataFrame, threshold: float | None = None,
         one = base.where("vector is not null").select("id", "vector").mapInPandas(
             _nearest_in([r.id for r in rows], [r.vector for r in rows], exclude_self), "query_id bigint, near_id bigint, d2 double"
         )
+        one = one.groupBy("query_id").agg(F.min(F.struct("d2", "near_id")).alias("m"))
+        one = cut(one) if blocks > 1 else one
         found = one if found is None else found.unionByName(one)
-    best = found.groupBy("query_id").agg(F.min(F.struct("d2", "near_id")).alias("m"))
+    best = found
     out = best.select("query_id", F.col("m.near_id").alias("near_id"), F.sqrt("m.d2").alias("distance"))
     return out if threshold is None else out.where(F.col("distance") <= threshold)
 

@@ -31,7 +31,12 @@ def library_class(spark: SparkSession, d: str) -> DataFrame:
     return info.select("id", language.alias("language"), F.when(language != "perl", N.library_package(F.col("fp_software"))).alias("library"))
 
 
-@query()
+@query(rf"""with m as (select id, regexp_extract(fp_software, '{PL}', 1) as g1, regexp_extract(fp_software, '{PL}', 2) as g2 from software_info
+ where not regexp_matches(fp_software, '{PY}') and not regexp_matches(fp_software, '{RB}') and regexp_matches(fp_software, '{PL}')),
+r as (select id, case when g2 = '' then g1 else array_to_string(list_transform(regexp_extract_all(g2, '\pL+|[^\pL]+'), lambda x: concat(upper(substr(x, 1, 1)), lower(substr(x, 2)))), '') end as raw from m),
+p as (select id, regexp_extract_all(raw, '[^:\s_-]+') as parts from r),
+k as (select *, list_filter(range(2, len(parts) + 1), lambda i: not regexp_matches(parts[i], '^\p{{Lu}}'))[1] as k from p)
+select id, array_to_string(case when regexp_matches(parts[1], '^\p{{Lu}}') and k is not null then parts[1:k - 1] else parts end, '-') as distribution from k""")
 def perl_dist_name(spark: SparkSession, d: str) -> DataFrame:
     info = table(spark, d, "software_info").where(N.library_language(F.col("fp_software")) == "perl")
     return info.select("id", N.perl_distribution(F.col("fp_software")).alias("distribution"))
@@ -167,7 +172,7 @@ def tag_match(spark: SparkSession, d: str) -> DataFrame:
     return best.select("project", "wanted", "suffix", "tag", "is_exact")
 
 
-@query()
+@query("select id, version, strftime(observed_at, '%Y-%m-%d') as released from packages_info where coalesce(version, '') <> ''")
 def rss_release(spark: SparkSession, d: str) -> DataFrame:
     """The publishing date of a version in a feed, over one feed per package row."""
     rows = table(spark, d, "packages_info").where("version is not null")

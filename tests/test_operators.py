@@ -68,7 +68,7 @@ def test_stored_fingerprints(spark):
     assert lookup.not_yet_stored(fp, stored.where("false")).count() == 2
 
 
-def test_nearest_is_exact(spark, folder):
+def test_nearest_is_exact(spark, folder, monkeypatch):
     base = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(1).alias("d2"))
     queries = base.where("id % 50 = 0")
     got = {r.query_id: (r.near_id, round(r.distance, 6)) for r in identity.nearest(queries, base, exclude_self=True).collect()}
@@ -78,6 +78,8 @@ def test_nearest_is_exact(spark, folder):
         d = sum((float(x) - float(y)) ** 2 for x, y in zip(p.v, p.vector, strict=True)) ** 0.5
         want[p.q] = min(want.get(p.q, (9e9, 0)), (d, p.id))
     assert got == {q: (i, round(d, 6)) for q, (d, i) in want.items()}
+    monkeypatch.setattr(identity, "QUERY_BLOCK", 3)
+    assert {r.query_id: (r.near_id, round(r.distance, 6)) for r in identity.nearest(queries, base, exclude_self=True).collect()} == got
     assert identity.nearest(queries, base, threshold=0.0, exclude_self=True).count() == 0
     blank = spark.createDataFrame([], "id bigint, vector array<float>")
     assert identity.nearest(blank, base).count() == 0 and identity.nearest(queries, blank).count() == 0
