@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: At most this many keys can each hold a share of 1/HEAVY_SHARE of all rows, so a list of them may be broadcast.
 HEAVY_SHARE = 64
+#: Stored steps after which the driver gives back what the finished ones held.
+RELEASE_STEPS = 6
+#: The JVM's diagnostic commands, and the one that returns freed memory outside the heap to the system; not every JVM has it.
+COMMANDS, TRIM = "com.sun.management:type=DiagnosticCommand", "systemTrimNativeHeap"
 
 
 def session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -77,17 +81,37 @@ def checkpoint_folder(master: str, named: str | None) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that later stages do not recompute it
     and a lost executor does not lose it. Uses ``spark.checkpoint.dir`` of the session (see ``checkpoint_folder``). A checkpoint is
-    removed once nothing refers to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``session`` does."""
+    removed once nothing refers to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``session`` does.
+    After every RELEASE_STEPS steps of a context what the finished ones held is given back (see ``release``)."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(context.master, df.sparkSession.conf.get("spark.checkpoint.dir", None)))
-    return df.checkpoint()
+    stored = df.checkpoint()
+    context._pkgloom_steps = getattr(context, "_pkgloom_steps", 0) + 1
+    if context._pkgloom_steps % RELEASE_STEPS == 0:
+        release(df.sparkSession)
+    return stored
 
 
 def release(spark: SparkSession) -> None:
     """Give back what finished steps held: frames that are no longer used leave the driver's heap, and with them the checkpoints,
-    shuffles and broadcasts that Spark removes when their frames are collected. For queries of many steps."""
-    spark.sparkContext._jvm.System.gc()
+    shuffles and broadcasts that Spark removes when their frames are collected; what the driver's JVM, above all
+    its compiler, has freed outside the heap goes back to the system, where the JVM has a command for that. For queries of many steps."""
+    context = spark.sparkContext
+    jvm, gateway = context._jvm, context._gateway
+    jvm.System.gc()
+    # the server's own class cannot be called from outside, only the interface
+    calls = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+    server, commands = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName(COMMANDS)
+
+    def ask(call: str, *values):
+        given = gateway.new_array(jvm.java.lang.Object, len(values))
+        for k, value in enumerate(values):
+            given[k] = value
+        return calls[call].invoke(server, given)
+
+    if ask("isRegistered", commands) and any(o.getName() == TRIM for o in ask("getMBeanInfo", commands).getOperations()):
+        ask("invoke", commands, TRIM, None, None)
 
 
 def key_spelling(column: Column) -> Column:
